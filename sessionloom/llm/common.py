@@ -50,26 +50,23 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 1
 def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every vertex of ``edges`` (a, b: long): columns id, component.
 
-    Alternates large-star and small-star contractions; each round is two grouped minima and two joins over the edge
-    table, written to the shared folder, until no edge changes. Minima are pre-aggregated before the shuffle and staged,
-    so that a hub with very many edges meets them in a join that Spark can split. No vertices are gathered on the driver.
+    Alternates large-star and small-star contractions, each a grouped minimum and a join over the edge table, written to the
+    shared folder, until every edge leads from a leaf to the hub of its star. Minima are pre-aggregated before the shuffle
+    and staged, so that a hub with very many edges meets them in a join that Spark can split. No vertices are gathered on
+    the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    check = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
-    e, last = stage_observed(e, f"{name}-edges", **check)
-    if not last["n"]:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(most_rounds):
+        e, edge_count = stage_observed(e, f"{name}-edges", n=F.count(F.lit(1)))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"{name}-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, f"{name}-large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e, now = stage_observed(small.where("u <> v").distinct(), f"{name}-edges", **check)
-        if now == last:
+        low = both.groupBy("u").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+        low, seen = stage_observed(low, f"{name}-low", leaves=F.count_if(F.expr("first < u")), between=F.count_if(F.expr("first < u and last > u")))
+        if not edge_count["n"] or seen["leaves"] == edge_count["n"] and not seen["between"]:
             break
-        last = now
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "first").alias("v")).distinct()
+        large = stage(large, f"{name}-large")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+        e = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return low.select(F.col("u").alias("id"), F.least("u", "first").alias("component"))

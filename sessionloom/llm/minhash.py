@@ -149,9 +149,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     ``shingle``-word sequences, or all its words as one if there are fewer. Documents are linked when
     100 * intersection >= percent * union. Null or empty texts have empty sets and link with nothing; a null doc_id never
     links and its component_id is null; a repeated doc_id counts as one vertex. Documents with equal sets form a class
-    that is compared once. In each band the documents that share a key are compared with the smallest id there (its hub);
-    those that stay apart from the hub's component are then compared with the rest of their bucket, so no chain is lost
-    and no group is expanded into all its pairs.
+    that is compared once. In each band the documents that share a key are compared with the smallest id there (its hub), and
+    each is labelled with the smallest hub it is linked to; those with another label than their bucket's hub are then compared
+    with the members of other labels there, so no chain is lost and no group is expanded into all its pairs.
     """
     docs = documents.select("doc_id", "text")
     all_ = stage(docs.mapInArrow(partial(_sketches, shingle=shingle, m=m), "doc_id long, n_shingles long, k1 long, k2 long, registers binary"), "mh-sketches")
@@ -178,8 +178,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
 
     tried = stage(member.where("id <> hub").select("hub", "id", "n").distinct().join(sized, "hub").where(close).select(F.col("hub").alias("a"), F.col("id").alias("b")), "mh-tried")
     links = confirmed(tried, "hub")
-    label = components(links, "mh-first")
-    named = member.join(label.select("id", F.col("component").alias("c1")), "id", "left").join(label.select(F.col("id").alias("hub"), F.col("component").alias("c2")), "hub", "left")
+    label = stage(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c")), "mh-first")
+    named = member.join(label.withColumnRenamed("c", "c1"), "id", "left").join(label.select(F.col("id").alias("hub"), F.col("c").alias("c2")), "hub", "left")
     named = stage(named.select("key", "id", "n", F.coalesce("c1", "id").alias("c"), F.coalesce("c2", "hub").alias("hub_c")), "mh-named")
     stray = named.where("c <> hub_c").select("key", F.col("id").alias("sid"), F.col("n").alias("hub_n"), F.col("c").alias("sc"))
     cross = stray.join(named, "key").where((F.col("c") != F.col("sc")) & close & ((F.col("c") == F.col("hub_c")) | (F.col("sid") < F.col("id"))))
@@ -187,7 +187,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     cross = stage(cross, "mh-cross")
     if not cross.isEmpty():
         links = links.unionByName(confirmed(cross, "cross"))
-        label = components(links, "mh-final")
+    label = components(links, "mh")
     out = all_.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
