@@ -42,7 +42,7 @@ def test_replace_rows(spark):
 
 
 def mixture_rows():
-    return [(i, "word " * (1 + i % 7) + ("licence" if i % 5 == 0 else ""), None if i % 11 == 0 else ["en", "de", "fr"][i % 3], "big" if i % 3 else f"s{i % 4}") for i in range(600)]
+    return [(i, "word " * (1 + i % 7) + ("licence" if i % 5 == 0 else ""), None if i % 11 == 0 else ["en", "de", "fr"][i // 3 % 3], "big" if i % 3 else f"s{i % 4}") for i in range(600)]
 
 
 def test_raking_reaches_the_targets(spark):
