@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, langid, licences, minhash, mixing, pii, quality
+from . import bpe, ctph, langid, licences, minhash, mixing, pii, quality, rpforest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rp_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_context_triggered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprints(table(spark, sf_dir, "documents"))
 
