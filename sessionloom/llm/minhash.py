@@ -142,51 +142,96 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m: int = M, band: int = BAND) -> DataFrame:
+def _face(batches, percent: int, least: float, band: int):
+    """Links between the strays and the members of a bucket's blocks, each pair in the first band that it shares."""
+    for whole in batches:
+        for i in range(whole.num_rows):
+            key, strays, members = (whole.column(c)[i].as_py() for c in ("key", "strays", "members"))
+            ra, rb = (np.stack([np.frombuffer(x["registers"], np.uint16) for x in side]) for side in (strays, members))
+            ka, kb = bands(ra, band), bands(rb, band)
+            at = int(np.flatnonzero(ka[0].view(np.int64) == key)[0])
+            sets = [np.frombuffer(x["set"], np.uint64) for x in members]
+            every, owner, size = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])
+            component = np.array([x["c"] for x in members])
+            links = []
+            for j, x in enumerate(strays):
+                mine = np.frombuffer(x["set"], np.uint64)
+                n = len(mine)
+                ask = (component != x["c"]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & ~(kb[:, :at] == ka[j, :at]).any(axis=1)
+                if ask.any():
+                    where = np.flatnonzero(ask)
+                    ask[where[likely_jaccard(np.broadcast_to(ra[j], (len(where), ra.shape[1])), rb[where], np.full(len(where), float(n)), size[where].astype(float)) < least]] = False
+                if ask.any():
+                    place = np.minimum(np.searchsorted(mine, every), n - 1)
+                    both = np.bincount(owner[mine[place] == every], minlength=len(sets))
+                    links += [(min(x["id"], members[k]["id"]), max(x["id"], members[k]["id"])) for k in np.flatnonzero(ask & (100 * both >= percent * (n + size - both)))]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m: int = M, band: int = BAND, block: int = 64) -> DataFrame:
     """One row per document (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its distinct
     ``shingle``-word sequences, or all its words as one if there are fewer. Documents are linked when
     100 * intersection >= percent * union. Null or empty texts have empty sets and link with nothing; a null doc_id never
     links and its component_id is null; a repeated doc_id counts as one vertex. Documents with equal sets form a class
-    that is compared once. In each band the documents that share a key are compared with the smallest id there (its hub), and
-    each is labelled with the smallest hub it is linked to; those with another label than their bucket's hub are then compared
-    with the members of other labels there, so no chain is lost and no group is expanded into all its pairs.
+    that is compared once. In each band the documents that share a key are compared with the smallest and the largest id
+    there; those that stay outside the smallest id's component (strays) are then compared with the members of other
+    components there, so no chain is lost and no group is expanded into all its pairs. In buckets of more than ``block``
+    documents that happens between blocks of rows inside a task, which returns the links alone.
     """
     docs = documents.select("doc_id", "text")
     all_ = stage(docs.mapInArrow(partial(_sketches, shingle=shingle, m=m), "doc_id long, n_shingles long, k1 long, k2 long, registers binary"), "mh-sketches")
     full = all_.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "mh-classes")
     reps = stage(full.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["k1", "k2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers"), "mh-reps")
-    keyed = stage(reps.mapInArrow(partial(_bands, band=band), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key")), "mh-bands")
-    hubs = stage(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub"), "mh-hubs")
-    member = stage(keyed.join(hubs, "key"), "mh-members")
-    sized = reps.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))
-    close = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    keyed = reps.mapInArrow(partial(_bands, band=band), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = stage(hubs.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "mh-hubs")
+    member = stage(keyed.join(hubs.hint("merge"), "key"), "mh-members")
+    sized = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    close = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent
+    s = percent / 100
+    likely_at = s - 6 * (s * (1 - s) / m) ** 0.5
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return stage(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "id long, set binary"), f"mh-sets-{name}")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a < b) whose sets are near enough."""
-        left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-        right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-        s = percent / 100
-        likely = pairs.join(left, "a").join(right, "b").mapInArrow(partial(_likely, least=s - 6 * (s * (1 - s) / m) ** 0.5), "a long, b long")
-        likely = stage(likely.distinct(), f"mh-likely-{name}")
-        ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "id long, set binary"), f"mh-sets-{name}")
-        with_sets = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        right = reps.select(F.col("id").alias("b"), F.col("n").alias("n"), F.col("registers").alias("rb"))
+        both = pairs.join(sized.hint("merge"), "a").join(right.hint("merge"), "b").where(close).withColumnRenamed("n", "nb")
+        likely = stage(both.mapInArrow(partial(_likely, least=likely_at), "a long, b long"), f"mh-likely-{name}")
+        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
+        with_sets = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
         return stage(with_sets.mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct(), f"mh-links-{name}")
 
-    tried = stage(member.where("id <> hub").select("hub", "id", "n").distinct().join(sized, "hub").where(close).select(F.col("hub").alias("a"), F.col("id").alias("b")), "mh-tried")
+    tried = member.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("other").alias("b")))).alias("p")).select("p.*").where("a < b")
+    tried = stage(tried.distinct(), "mh-tried")
     links = confirmed(tried, "hub")
-    label = stage(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c")), "mh-first")
-    named = member.join(label.withColumnRenamed("c", "c1"), "id", "left").join(label.select(F.col("id").alias("hub"), F.col("c").alias("c2")), "hub", "left")
-    named = stage(named.select("key", "id", "n", F.coalesce("c1", "id").alias("c"), F.coalesce("c2", "hub").alias("hub_c")), "mh-named")
-    stray = named.where("c <> hub_c").select("key", F.col("id").alias("sid"), F.col("n").alias("hub_n"), F.col("c").alias("sc"))
-    cross = stray.join(named, "key").where((F.col("c") != F.col("sc")) & close & ((F.col("c") == F.col("hub_c")) | (F.col("sid") < F.col("id"))))
-    cross = cross.select(F.least("sid", "id").alias("a"), F.greatest("sid", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    cross = stage(cross, "mh-cross")
-    if not cross.isEmpty():
-        links = links.unionByName(confirmed(cross, "cross"))
+    label = components(links, "mh-first")
+    named = member.join(label.select("id", F.col("component").alias("c1")).hint("merge"), "id", "left").join(label.select(F.col("id").alias("hub"), F.col("component").alias("c2")).hint("merge"), "hub", "left")
+    named = stage(named.select("key", "id", "n", "blocks", F.coalesce("c1", "id").alias("c"), F.coalesce("c2", "hub").alias("hub_c")), "mh-named")
+    stray = named.where("c <> hub_c")
+
+    # small buckets: the strays' pairs as rows, at most ``block`` for each
+    few = stray.where("blocks = 1").select("key", F.col("id").alias("sid"), F.col("n").alias("na"), F.col("c").alias("sc"))
+    cross = few.join(named.where("blocks = 1").hint("merge"), "key").where((F.col("c") != F.col("sc")) & close & ((F.col("c") == F.col("hub_c")) | (F.col("sid") < F.col("id"))))
+    cross = cross.select(F.least("sid", "id").alias("a"), F.greatest("sid", "id").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+    links = links.unionByName(confirmed(stage(cross, "mh-cross"), "cross"))
+
+    # large buckets: blocks of strays against blocks of members, compared inside the task
+    many = stage(stray.where("blocks > 1").select("key").distinct().join(named.where("blocks > 1").hint("merge"), "key"), "mh-many")
+    if not many.isEmpty():
+        sets = sets_of(many.select(F.col("id").alias("doc_id")).distinct(), "many")
+        row = F.struct("id", "c", "registers", "set").alias("x")
+        with_sets = many.join(reps.select("id", "registers").hint("merge"), "id").join(sets.hint("merge"), "id")
+        part = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
+        members = with_sets.groupBy("key", "blocks", part.alias("part")).agg(F.collect_list(row).alias("members"))
+        strays = with_sets.where("c <> hub_c").groupBy("key", part.alias("stray_part")).agg(F.collect_list(row).alias("strays"))
+        facing = strays.join(members.hint("merge"), "key").select("key", "strays", "members")
+        links = links.unionByName(facing.mapInArrow(partial(_face, percent=percent, least=likely_at, band=band), "a long, b long").distinct())
     label = components(links, "mh")
     out = all_.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")

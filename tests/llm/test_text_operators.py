@@ -58,6 +58,21 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert got[None].component_id is None and got[None].kept
 
 
+def test_large_buckets_are_compared_in_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # copies whose similarities lie around the threshold
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 5, 8, 12])):
+            text[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), shingle=2, block=8).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
