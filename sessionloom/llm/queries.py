@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, langid, licences, minhash, mixing, pii, quality, rpforest
+from . import bpe, ctph, langid, licences, minhash, mixing, passages, pii, quality, rpforest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_entities", "kinds", "text")
