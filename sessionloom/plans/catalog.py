@@ -1,13 +1,538 @@
-"""Registered queries and their SQL."""
+"""Registered queries: every operator over the driver's tables, with DuckDB SQL of the same result."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from ..functions import text as T
+from ..operators import cleaning, evaluation, interactions, known_item, quality, reformulation, sessions, vectors
+from ..sources.fixtures import LOG, queries_of, search_log, table, titles
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def register(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _rows(df: DataFrame, **double) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), d) for c, d in double.items()})
+
+
+# ---------------------------------------------------------------- SQL fragments
+
+W = "window w as (partition by uid, day order by ts, ord)"
+TOK = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> '')"
+
+
+def _jac(a: str, b: str) -> str:
+    return f"(case when len({a}) > 0 and len({b}) > 0 then len(list_intersect({a},{b}))::double / len(list_distinct(list_concat({a},{b}))) else 0 end)"
+
+
+def _same(a: str, b: str) -> str:
+    x, y = (f"list_distinct({TOK.format(c)})" for c in (a, b))
+    inside = f"(len({x}) > 0 and len({y}) > 0 and (len(list_intersect({x},{y})) = len({x}) or len(list_intersect({x},{y})) = len({y})))"
+    return f"(lower(trim({a})) = lower(trim({b})) or {inside} or {_jac(x, y)} >= 0.5)"
+
+
+PREV = f"n as (select *, lag(ts) over w p_ts, lag(query) over w p_q, lag(serp) over w p_s from q0 {W})"
+LEXICAL = f"""{LOG}, {PREV}, lex as (select *, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 5400 and {_same("p_q", "query")} then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) session_id from n)"""
+GAP = f"{LOG}, {PREV}, gap as (select *, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 86400 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) session_id from n)"
+BURST = "b as (select search_id from (select search_id, count(*) over (partition by uid, ts) c from log where type is null) where c < 2)"
+
+
+def _lexical(spark, sf):
+    return sessions.lexical_sessions(queries_of(search_log(spark, sf)))
+
+
+def _gap(spark, sf):
+    return sessions.gap_sessions(queries_of(search_log(spark, sf)), most_gap=86_400)
+
+
+STATS = """, h as (select session_id, count(*) n from {0} group by 1), c as (select n, count(*) times from h group by 1), u as (select n, times, sum(times) over (order by n) upto, sum(times) over () al from c)
+select cast(sum(times) as bigint) sessions, cast(sum(n*times) as bigint) events, sum(n*times)/sum(times)::double mean, min(case when upto >= al/2.0 then n end) median, max(n) longest,
+100.0*sum(case when n = 1 then times else 0 end)/sum(times)::double pct_single, 100.0*sum(case when n >= 4 then times else 0 end)/sum(times)::double pct_four from u"""
+
+
+@register(f"with {LEXICAL.replace('from log where type is null)', 'from log where type is null and search_id in (select search_id from (select search_id, count(*) over (partition by uid, ts) c from log where type is null) where c < 2))')}" + STATS.format("lex"))
+def flagship_session_lengths(spark, sf):
+    """R9, R2, lexical stage, A9: lengths of sessions after the burst filter."""
+    log = sessions.drop_bursts(queries_of(search_log(spark, sf)))
+    return evaluation.length_stats(sessions.lexical_sessions(log))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship_session_lengths(spark, sf_dir)
+
+
+@register(f"with {LOG}, {BURST} select l.search_id, l.uid, l.ts from log l join b using (search_id)")
+def r9_drop_bursts(spark, sf):
+    return sessions.drop_bursts(queries_of(search_log(spark, sf))).select("search_id", "uid", "ts")
+
+
+@register(f"with {LOG} select search_id, concat(uid, '|', day) grp from q0")
+def r2_uid_day(spark, sf):
+    return sessions.uid_day(queries_of(search_log(spark, sf))).select("search_id", "grp")
+
+
+@register(f"with {LOG} select uid, count(*) n_queries, min(ts) ts_start, max(ts) ts_end, (max(ts)-min(ts))/60.0::double dauer_min from q0 group by 1")
+def r1_uid_summary(spark, sf):
+    return sessions.uid_summary(queries_of(search_log(spark, sf)))
+
+
+@register(f"with {GAP} select search_id, session_id from gap")
+def r5_gap_sessions(spark, sf):
+    return _gap(spark, sf).select("search_id", "session_id")
+
+
+@register(f"with {LEXICAL} select search_id, session_id from lex")
+def r5_lexical_sessions(spark, sf):
+    return _lexical(spark, sf).select("search_id", "session_id")
+
+
+_STOP = "(" + ",".join("'" + w.replace("'", "''") + "'" for w in ("the", "of", "and", "a", "in")) + ")"
+_WORDS = f"list_filter(regexp_extract_all(lower(query), '\\w\\w+'), lambda w: w not in {_STOP})"
+_WORDGRAMS = f"list_concat({_WORDS}, case when len({_WORDS}) > 1 then list_transform(range(1, len({_WORDS})), lambda i: concat({_WORDS}[i], ' ', {_WORDS}[i+1])) else [] end)"
+_CHARGRAMS = "flatten(list_transform(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> ''), lambda w: flatten(list_transform(list_filter([2,3,4], lambda n: n = 2 or length(w)+2 > n-1), lambda n: list_transform(range(1, greatest(length(w)+2-n+1, 1)+1), lambda i: substr(concat(' ', w, ' '), i, n))))))"
+
+
+def _cos(name: str, grams: str) -> str:
+    return f"""{name}_d as (select query, count(*) times from q0 group by 1), {name}_t as (select query, times, term, count(*) tf from (select query, times, unnest({grams}) term from {name}_d) group by all),
+ {name}_i as (select term, ln((1+(select count(*) from q0))/(1+sum(times))::double)+1 idf from {name}_t group by 1), {name}_w as (select query, term, tf*idf w from {name}_t join {name}_i using (term)),
+ {name}_n as (select query, term, w/sqrt(sum(w*w) over (partition by query)) w from {name}_w), {name}_p as (select distinct p_q q1, query q2 from n where p_q is not null),
+ {name} as (select q1, q2, sum(a.w*b.w) cos from {name}_p join {name}_n a on a.query = q1 join {name}_n b on b.query = q2 and a.term = b.term group by 1, 2)"""
+
+
+@register(f"with {LOG}, {PREV}, {_cos('wc', _WORDGRAMS)} select search_id, concat(uid,'|',day,'|',cast(sum(case when ts-p_ts < 5400 and {_jac('p_s', 'serp')} >= 0.01 and coalesce(cos, 0) >= 0.1 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) session_id from n left join wc on q1 = p_q and q2 = query")
+def r3_multi_criteria(spark, sf):
+    """R3 with V2, V3, O4; the gap is widened to 5400 s as the tables' events are sparse."""
+    return sessions.multi_criteria(queries_of(search_log(spark, sf)), most_gap=5400, stop=["the", "of", "and", "a", "in"]).select("search_id", "session_id")
+
+
+_CASCADE = f"""{LOG}, {PREV}, {_cos('cc', _CHARGRAMS)}, cas as (select n.*, case when p_ts is null then 'grp' when ts-p_ts > 5400 then 'gap' when {_same("p_q", "query")} then 's1' when coalesce(cos,0) >= 0.3 then 's2'
+ when {_jac('p_s', 'serp')} >= 0.1 then 's4' else 'boundary' end stage from n left join cc on q1 = p_q and q2 = query)"""
+_CASID = ", cid as (select *, concat(uid,'|',day,'|',cast(sum(case when stage in ('grp','gap','boundary') then 1 else 0 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) session_id from cas)"
+
+
+def _cascade(spark, sf):
+    return sessions.cascade(queries_of(search_log(spark, sf)))
+
+
+@register(f"with {_CASCADE}{_CASID} select search_id, session_id, stage from cid")
+def r4_cascade(spark, sf):
+    """R4 without concept vectors: V1, V3, O4, O5, stages grp, gap, s1, s2, s4, boundary."""
+    return _cascade(spark, sf).select("search_id", "session_id", "stage")
+
+
+@register(f"with {_CASCADE} select stage, count(*) n, case when stage in ('s1','s2','s3','s4') then 'continued' when stage = 'grp' then 'grp' else 'boundary' end kind, round(100.0*count(*)/sum(count(*)) over (), 9) pct from cas group by 1")
+def a13_stage_counts(spark, sf):
+    return _rows(evaluation.stage_counts(_cascade(spark, sf)), pct=9)
+
+
+@register(f"with {_CASCADE}{_CASID}, g as (select session_id, count(*) n, (max(ts)-min(ts))/60.0::double m from cid group by 1) select case when n = 1 then '1' when n <= 5 then '2-5' when n <= 10 then '6-10' when n <= 50 then '11-50' else '>50' end bucket, count(*) sessions, round(avg(m), 6) mean_min, round(quantile_cont(m, 0.5), 6) median_min, round(max(m), 6) max_min from g group by 1")
+def a14_durations(spark, sf):
+    return _rows(evaluation.durations(_cascade(spark, sf)), mean_min=6, median_min=6, max_min=6)
+
+
+_BUCKET = "case when greatest({0}, 0) < 300 then '<5' when {0} < 600 then '5-10' when {0} < 1800 then '10-30' when {0} <= 5400 then '30-90' else '>90' end"
+
+
+@register(f"with {_CASCADE}, gp as (select search_id s, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 86400 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) o from n), j as (select stage, ts-p_ts g, o, lag(o) over w po, lag(search_id) over w pid from cas join gp on s = search_id {W}) select stage, {_BUCKET.format('g')} bucket, count_if(o = po) kept, count_if(o <> po) split, count_if(o is null or po is null) unknown from j where pid is not null group by 1, 2")
+def a16_stage_against_method(spark, sf):
+    """What a time-gap method does with the pairs of each stage."""
+    return evaluation.stage_against(_cascade(spark, sf), _gap(spark, sf))
+
+
+@register(f"with {LEXICAL}, gp as (select search_id s, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 86400 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) o from n), j as (select session_id = lag(session_id) over w sa, o = lag(o) over w sb, lag(o) over w po from lex join gp on s = search_id {W}) select count(*) pairs, count_if(sa = sb) agree, count_if(not sa) split_a, count_if(not sb) split_b from j where po is not null")
+def a11_method_agreement(spark, sf):
+    """J5, A11."""
+    both = evaluation.aligned({"a": _lexical(spark, sf), "b": _gap(spark, sf)})
+    return evaluation.agreement(both, "a", "b")
+
+
+@register(f"with {LEXICAL}, gp as (select search_id s, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 86400 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) o from n), g as (select o, count(*) size, count(distinct session_id) parts from lex join gp on s = search_id group by 1 having count(*) >= 4) select case when parts >= 10 then '10+' else cast(parts as varchar) end parts, count(*) n, round(avg(size), 9) mean_size from g group by 1")
+def a12_breakup(spark, sf):
+    """J6, A12."""
+    return _rows(evaluation.breakup_histogram(evaluation.breakup(_gap(spark, sf), _lexical(spark, sf))), mean_size=9)
+
+
+@register(f"with {LEXICAL}, gp as (select search_id s, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 86400 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) o from n), c as (select o session_a, session_id session_b, count(*) shared from lex join gp on s = search_id group by 1, 2) select session_a, session_b, shared from c qualify row_number() over (partition by session_a order by shared desc, session_b) = 1")
+def j8_best_overlap(spark, sf):
+    return evaluation.best_overlap(_gap(spark, sf), _lexical(spark, sf))
+
+
+@register(f"with {GAP}" + STATS.format("gap"))
+def a9_length_stats(spark, sf):
+    return evaluation.length_stats(_gap(spark, sf))
+
+
+@register(f"with {LEXICAL} select (select count(distinct session_id) from lex) sessions, (select count(distinct concat(uid,'|',day)) from lex) uid_days, (select count(distinct session_id) from lex)::double/(select count(distinct concat(uid,'|',day)) from lex) factor")
+def a10_split_factor(spark, sf):
+    return evaluation.split_factor(_lexical(spark, sf))
+
+
+@register(f"with {GAP}, g as (select session_id, count(*) n from gap group by 1) select cast(sum(n) as bigint) events, count(*) sessions, cast(sum(n) as bigint)-count(*) pairs, cast(0 as bigint) blank, count_if(n = 1) single from g")
+def a19_pair_identity(spark, sf):
+    """A18, A19."""
+    return quality.pair_identity(_gap(spark, sf))
+
+
+@register(f"with {LOG} select uid, count(distinct day) days, count(*) n from q0 group by 1")
+def a20_days_per_uid(spark, sf):
+    return quality.days_per_uid(sessions.uid_day(queries_of(search_log(spark, sf))))
+
+
+_T = f"{GAP}, t as (select session_id, uid, ts - lag(ts) over (partition by session_id order by ts, ord) g from gap), tm as (select session_id, min(uid) uid, count(*) n_queries, avg(g) mean_gap_s, stddev_pop(g) std_gap_s from t group by 1)"
+
+
+@register(f"with {_T} select session_id, uid, n_queries, round(mean_gap_s, 6) mean_gap_s, round(std_gap_s, 4) std_gap_s from tm")
+def a3_session_timing(spark, sf):
+    return _rows(sessions.timing(_gap(spark, sf)), mean_gap_s=6, std_gap_s=4)
+
+
+_BOTS = f"{_T}, bots as (select * from tm where n_queries >= 3 and mean_gap_s <= 20000 and std_gap_s <= 9000)"
+
+
+def _bots(spark, sf):
+    timed = sessions.timing(_gap(spark, sf))
+    return timed, sessions.regular_bots(timed, most_mean=20_000, most_std=9_000)
+
+
+@register(f"with {_BOTS} select count_if(b > 0 and b = n) only_bot, count_if(b = 0) only_other, count_if(b > 0 and b < n) both from (select tm.uid, count(*) n, count(bots.session_id) b from tm left join bots using (session_id) group by 1)")
+def a4_uid_overlap(spark, sf):
+    return quality.uid_overlap(*_bots(spark, sf))
+
+
+@register(f"with {_BOTS} select cast(round_even(mean_gap_s, 0) as bigint) gap, count(*) n from bots group by 1 order by 2 desc, 1 limit 8")
+def a5_frequent_gaps(spark, sf):
+    return quality.frequent_gaps(_bots(spark, sf)[1])
+
+
+@register(f"with {_BOTS}, per as (select uid, count(*) n from bots group by 1), r as (select n, row_number() over (order by n desc) - 1 k, count(*) over () al from per) select count(*) users, avg(n) mean, max(case when k = least(al-1, floor(al*0.10)) then n end) p90, max(case when k = least(al-1, floor(al*0.01)) then n end) p99, max(n) most, count_if(n >= 2)/count(*)::double share_two, sum(case when k < 10 then n else 0 end)/sum(n)::double share_top, median(n) median from r")
+def a6_recurrence(spark, sf):
+    return quality.recurrence(_bots(spark, sf)[1])
+
+
+_F = f"{GAP.replace('p.p_name query', chr(39) + chr(39) + ' || case when event_id % 5 = 0 then ' + chr(39) + 'year>=1999 AND (x)' + chr(39) + ' else p.p_name end query')}, f as (select session_id, count(*) n, count_if(regexp_matches(query, '(?i)yearPublished|(<=|>=|<|>)\\s*\\d|\\bAND\\s*\\(|\\bOR\\s*\\(')) st, max(ts)-min(ts) span, min(query)=max(query) same from gap group by 1)"
+
+
+def _structured(spark, sf):
+    q = queries_of(search_log(spark, sf)).withColumn("query", F.when(F.col("ord") % 5 == 0, "year>=1999 AND (x)").otherwise(F.col("query")))
+    return sessions.gap_sessions(q, most_gap=86_400)
+
+
+@register(f"with {_F} select search_id, session_id from gap where session_id not in (select session_id from f where (st = n and span <= 120) or (n >= 2 and same))")
+def r6_sweep_filter(spark, sf):
+    s = _structured(spark, sf)
+    return sessions.without_sessions(s, sessions.sweep_sessions(s)).select("search_id", "session_id")
+
+
+@register(f"with {_F} select search_id, session_id from gap where session_id not in (select session_id from f where (st > 0 and st/n::double > 0.6) or (n >= 2 and same))")
+def r7_structured_filter(spark, sf):
+    s = _structured(spark, sf)
+    return sessions.without_sessions(s, sessions.structured_sessions(s)).select("search_id", "session_id")
+
+
+@register(f"with {GAP}, per as (select uid, day, session_id, min(ts) t, min(ord) o from gap group by all) select session_id, concat('session', row_number() over (order by uid, day, t, o)) number from per")
+def w3_global_numbers(spark, sf):
+    return sessions.global_numbers(_gap(spark, sf))
+
+
+# ---------------------------------------------------------------- reformulation
+
+
+def _classify(a: str, b: str) -> str:
+    t1, t2 = TOK.format(a), TOK.format(b)
+    n1, n2 = f"trim(lower({a}))", f"trim(lower({b}))"
+    sq = lambda c: f"regexp_replace(lower({c}), '[\\s''\\-.]', '', 'g')"
+    url = lambda c: f"replace(replace(replace(replace(replace(trim(lower({c})), '.com', ''), 'www.', ''), 'http_', ''), 'http://', ''), 'https://', '')"
+    within = lambda x, y: f"len(list_filter({x}, lambda w: len(list_filter({x}, lambda v: v = w)) > len(list_filter({y}, lambda v: v = w)))) = 0"
+    init = lambda x: f"array_to_string(list_transform({x}, lambda w: w[1]), '')"
+    return f"""case when {n1} = {n2} then 'Identical' when len({t1}) = 0 or len({t2}) = 0 then 'New' when {t1} <> {t2} and list_sort({t1}) = list_sort({t2}) then 'Word Reorder'
+ when {sq(a)} = {sq(b)} then 'Whitespace/Punctuation' when len({t2}) < len({t1}) and {within(t2, t1)} then 'Remove Words' when len({t2}) > len({t1}) and {within(t1, t2)} then 'Add Words'
+ when {url(a)} = {url(b)} then 'URL Stripping' when len({t2}) = 1 and len({t1}) >= 2 and {t2}[1] = {init(t1)} then 'Form Acronym' when len({t1}) = 1 and len({t2}) >= 2 and {t1}[1] = {init(t2)} then 'Expand Acronym'
+ when starts_with({n1}, {n2}) or ends_with({n1}, {n2}) then 'Substring' when starts_with({n2}, {n1}) or ends_with({n2}, {n1}) then 'Superstring'
+ when len({t1}) = len({t2}) and len(list_filter(range(1, len({t1})+1), lambda i: not (starts_with({t1}[i], {t2}[i]) or starts_with({t2}[i], {t1}[i])))) = 0 then 'Abbreviation'
+ when levenshtein({n1}, {n2}) <= 2 then 'Spelling Correction' else 'New' end"""
+
+
+_CUT = "case when event_id % 3 = 0 then split_part(p.p_name, ' ', 1) when event_id % 3 = 1 then concat(split_part(p.p_name, ' ', 2), ' ', split_part(p.p_name, ' ', 1)) else p.p_name end query"
+_VARIED = f"{GAP.replace('p.p_name query', _CUT)}, pr as (select *, lag(query) over (partition by session_id order by ts, ord) pq from gap), lb as (select *, {_classify('pq', 'query')} strategy from pr where pq is not null)"
+
+
+def _varied(spark, sf):
+    """Queries cut to a word or reversed by event, so that more classes occur."""
+    one, two = F.split_part("query", F.lit(" "), F.lit(1)), F.split_part("query", F.lit(" "), F.lit(2))
+    log = search_log(spark, sf)
+    log = log.withColumn("query", F.when(F.col("ord") % 3 == 0, one).when(F.col("ord") % 3 == 1, F.concat_ws(" ", two, one)).otherwise(F.col("query")))
+    return sessions.gap_sessions(queries_of(log), most_gap=86_400)
+
+
+@register(f"with {_VARIED} select search_id, pq q_prev, query q_curr, strategy from lb")
+def reformulation_labels(spark, sf):
+    """W5 and the rules of 2.10."""
+    return reformulation.labelled(_varied(spark, sf)).select("search_id", "q_prev", "q_curr", "strategy")
+
+
+@register(f"with {_VARIED} select strategy, count(*) n, round(100.0*count(*)/sum(count(*)) over (), 9) percent from lb group by 1")
+def a21_distribution(spark, sf):
+    return _rows(reformulation.distribution(reformulation.labelled(_varied(spark, sf))), percent=9)
+
+
+@register(f"with {_VARIED}, st as (select strategy label_to, lag(strategy) over (partition by session_id order by ts, ord) label_from from lb) select label_from, label_to, count(*) n, round(count(*)/sum(count(*)) over (partition by label_from)::double, 9) p from st where label_from is not null group by 1, 2")
+def a22_transitions(spark, sf):
+    """W6, A22."""
+    return _rows(reformulation.transitions(reformulation.labelled(_varied(spark, sf))), p=9)
+
+
+@register(f"with {_VARIED} select strategy, idx, search_id from (select *, row_number() over (partition by strategy order by md5(concat('42|', search_id)), search_id) idx from lb) where idx <= 25")
+def t6_stratified_sample(spark, sf):
+    return reformulation.stratified_sample(reformulation.labelled(_varied(spark, sf))).select("strategy", F.col("idx").cast("bigint").alias("idx"), "search_id")
+
+
+@register(f"with {_VARIED} select strategy, k, pq q_prev, query q_curr from (select *, row_number() over (partition by strategy order by ts, ord) k from lb) where k <= 3")
+def t8_examples(spark, sf):
+    return reformulation.examples(reformulation.labelled(_varied(spark, sf))).withColumn("k", F.col("k").cast("bigint"))
+
+
+@register("select case when grouping(s) = 1 then null else s end strategie, count(*) n, count_if(toxic = 1) correct, count_if(toxic = 1)/count(*)::double as precision from (select concat('q', quality) s, toxic from labels) group by rollup(s)")
+def a34_precision(spark, sf):
+    sheet = table(spark, sf, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("strategie"), F.col("toxic").cast("string").alias("korrekt"))
+    return reformulation.precision(sheet)
+
+
+# ---------------------------------------------------------------- interactions
+
+_DW = f"""{LOG}, mk as (select *, last_value(case when type is null then search_id end ignore nulls) over (partition by uid order by ts, ord rows unbounded preceding) merge_key from log), it as (select * from mk where type is not null),
+ tm as (select distinct uid, ts from log), nx as (select uid, ts, lead(ts) over (partition by uid order by ts) nt from tm), dw as (select it.*, coalesce(nt - it.ts, -1) dwell, case when nt is null or nt - it.ts >= 30 then 1 else 0 end plausible from it join nx using (uid, ts))"""
+
+
+def _dwell(spark, sf):
+    log = search_log(spark, sf)
+    return interactions.dwell(interactions.latest_query_key(log), log)
+
+
+@register(f"with {_DW} select search_id, merge_key, dwell, plausible from dw")
+def j9_dwell(spark, sf):
+    """J9, W7 and the merge key of each interaction."""
+    return _dwell(spark, sf).select("search_id", "merge_key", "dwell", "plausible")
+
+
+@register(f"with {_DW}, keys as (select distinct search_id k from log where type is null) select type, count(*) total, count(k) matched, 100.0*count(k)/count(*)::double pct, min(merge_key) example from dw left join keys on k = merge_key group by 1")
+def a24_matched(spark, sf):
+    """J3, A24."""
+    log = search_log(spark, sf)
+    return interactions.matched(interactions.latest_query_key(log), queries_of(log))
+
+
+@register(f"with {_DW} select type, count(*) total, cast(0 as bigint) undefined, count(merge_key) as real, count_if(merge_key is null) as empty from dw group by rollup(type)")
+def a25_key_status(spark, sf):
+    return interactions.key_status(interactions.latest_query_key(search_log(spark, sf)))
+
+
+_ATT = "coalesce(bool_or(type = '{0}' and plausible = {1}), false)"
+_FLAGS = ", ".join(f"{_ATT.format(k, p)} {k.replace('-', '_')}_{'long' if p else 'short'}" for p in (1, 0) for k in interactions.ATTRIBUTED)
+_NAMES = [f"{k.replace('-', '_')}_{'long' if p else 'short'}" for p in (1, 0) for k in interactions.ATTRIBUTED]
+
+
+@register(
+    f"with {_VARIED}, {_DW.replace(LOG + ', ', '')}, per as (select merge_key k, {_FLAGS} from dw group by 1) select strategy, count(*) pairs, "
+    + ", ".join(f"100.0*count_if({n})/count(*)::double pct_{n}" for n in _NAMES)
+    + f", 100.0*count_if({' or '.join(n for n in _NAMES if n.endswith('_long'))})/count(*)::double pct_any_long, 100.0*count_if({' or '.join(n for n in _NAMES if n.endswith('_short'))})/count(*)::double pct_any_short from lb left join per on k = search_id group by 1"
+)
+def a23_attribution(spark, sf):
+    return interactions.attribution(reformulation.labelled(_varied(spark, sf)), _dwell(spark, sf))
+
+
+@register(f"with {LOG}, k as (select distinct split_part(trackId, '-', 1) mk from log where type = 'works') select count(*) as keys, count(search_id) found, cast(0 as bigint) uid_empty, count(search_id) uid_filled from k left join log on search_id = mk")
+def a26_key_coverage(spark, sf):
+    """J4, A26, X-s17."""
+    log = search_log(spark, sf)
+    return interactions.key_coverage(interactions.extract(log), log, kind="works")
+
+
+@register(f"with {LOG} select ts, uid, type, trackId, split_part(trackId, '-', 1) merge_key from log where type is not null")
+def f21_extract_interactions(spark, sf):
+    """F21, X-s3, X-s17."""
+    return interactions.extract(search_log(spark, sf))
+
+
+# ---------------------------------------------------------------- known items
+
+_KI = f"{_VARIED}, ti as (select distinct trim(regexp_replace(lower(p_name), '[\\W_]+', ' ', 'g')) t from part where p_partkey % 16 = 0), hq as (select gap.*, ti.t is not null hit from gap left join ti on ti.t = trim(regexp_replace(lower(query), '[\\W_]+', ' ', 'g')))"
+
+
+@register(f"with {_KI}, rf as (select session_id, count_if(strategy in ('Add Words','Remove Words','Word Substitution','Substring','Superstring')) r from lb group by 1), g as (select session_id, count(*) n, bool_or(hit) hit from hq group by 1), c as (select case when hit then 'Known-Item' when n = 1 then 'Einzelquery (ohne Titel)' when n >= 4 then 'Exploratory' when n <= 3 and coalesce(r,0) = 0 then 'Known-Item' else 'Unscharf' end klass, hit, coalesce(r,0) r from g left join rf using (session_id)) select klass, case when klass = 'Exploratory' then case when r >= 1 then 'refining' else 'plain' end when klass = 'Known-Item' then case when hit then 'title' else 'short' end end sub, count(*) n from c group by 1, 2")
+def a31_known_item_classes(spark, sf):
+    """J10, A31."""
+    return known_item.class_counts(known_item.classes(_varied(spark, sf), titles(spark, sf)))
+
+
+@register(f"with {_KI} select case when hit then 'known-item' when n >= 4 then 'exploratory' else 'unclear' end klass, count(*) n from (select session_id, count(*) n, bool_or(hit) hit from hq group by 1) group by 1")
+def a33_priority_classes(spark, sf):
+    return known_item.priority_classes(_varied(spark, sf), titles(spark, sf))
+
+
+@register(f"with {_KI}, k as (select session_id, hit, row_number() over (partition by session_id order by ts, ord) k, count(*) over (partition by session_id) n from hq), g as (select session_id, max(n) n, count_if(hit) hits, count_if(hit and n >= 2 and k = 1) f, count_if(hit and n >= 2 and k > 1 and k < n) m, count_if(hit and n >= 2 and k = n) l from k group by 1) select case when n = 1 then '1 (Singleton)' when n <= 3 then cast(n as varchar) when n <= 5 then '4-5' when n <= 10 then '6-10' else '11+' end bucket, count(*) sessions, count_if(hits > 0) title_sessions, cast(sum(n) as bigint) queries, cast(sum(hits) as bigint) title_queries, cast(sum(f) as bigint) as first, cast(sum(m) as bigint) middle, cast(sum(l) as bigint) as last from g group by 1")
+def a32_title_positions(spark, sf):
+    """W9, A32."""
+    return known_item.title_positions(_varied(spark, sf), titles(spark, sf))
+
+
+# ---------------------------------------------------------------- cleaning and quality
+
+_DIRTY = """case event_id % 16 when 0 then concat('10.1234/', event_id) when 1 then concat('id:', 100000000 + event_id) when 2 then concat('größe ', p.p_name) when 3 then concat('title:"', p.p_name, '"') when 4 then concat('updatedDate>=2020-01-01T00:00:00Z AND updatedDate<2020-01-02T00:00:00Z')
+ when 5 then cast(1000000000 + event_id as varchar) when 6 then concat('cell capture AND ', p.p_name) when 7 then concat('x authors:', p.p_name) when 8 then concat(p.p_name, ' OR b') else p.p_name end query"""
+_DLOG = LOG.replace("p.p_name query", _DIRTY)
+_FIELDS = "|".join(T.SPECIAL_FIELDS)
+# patterns as DuckDB writes them
+_TESTS = {
+    "doi": "regexp_matches(query, '10\\.\\d{4,}/')",
+    "internal_id": "regexp_matches(query, 'id:\\d{9}')",
+    "script": "regexp_matches(query, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{0400}-\\x{04FF}\\x{00C0}-\\x{024F}\\x{00A1}\\x{00BF}]')",
+    "title": "contains(query, 'title:\"')",
+    "update_window": "regexp_matches(query, '^updatedDate\\s*>=\\s*\\S+Z\\s+AND\\s+updatedDate\\s*<\\s*\\S+Z$')",
+    "ten_digits": "regexp_matches(query, '^\\d{10}$')",
+    "cell_capture": "regexp_matches(query, '^\"?cell capture AND')",
+    "special_field": f"regexp_matches(query, '(^|[^a-zA-Z0-9])({_FIELDS}):')",
+    "boolean": "regexp_matches(query, '\\b(AND|OR|NOT)\\b')",
+    "structured": "regexp_matches(query, '(?i)yearPublished|(<=|>=|<|>)\\s*\\d|\\bAND\\s*\\(|\\bOR\\s*\\(')",
+}
+
+
+def _dirty(spark, sf):
+    log, k, q = search_log(spark, sf), F.col("ord") % 16, F.col("query")
+    number = F.col("ord")
+    made = [
+        F.concat(F.lit("10.1234/"), number.cast("string")), F.concat(F.lit("id:"), (number + 100_000_000).cast("string")), F.concat(F.lit("größe "), q), F.concat(F.lit('title:"'), q, F.lit('"')),
+        F.lit("updatedDate>=2020-01-01T00:00:00Z AND updatedDate<2020-01-02T00:00:00Z"), (number + 1_000_000_000).cast("string"), F.concat(F.lit("cell capture AND "), q), F.concat(F.lit("x authors:"), q), F.concat(q, F.lit(" OR b")),
+    ]
+    out = q
+    for i, m in enumerate(made):
+        out = F.when(k == i, m).otherwise(out)
+    return log.withColumn("query", out)
+
+
+@register(f"with {_DLOG} select query, " + ", ".join(f"{t} {n}" for n, t in _TESTS.items()) + " from log")
+def f_query_predicates(spark, sf):
+    """F6-F13, F19."""
+    tests = dict(zip(_TESTS, (cleaning.is_doi, cleaning.is_internal_id, cleaning.other_script, cleaning.is_title_query, cleaning.is_update_window, cleaning.is_ten_digits, cleaning.is_cell_capture, cleaning.has_special_field, cleaning.has_boolean, cleaning.is_structured), strict=True))
+    return _dirty(spark, sf).select("query", *[t(F.col("query")).alias(n) for n, t in tests.items()])
+
+
+_C1 = " and ".join(f"not {_TESTS[t]}" for t in ("doi", "internal_id", "script", "title", "update_window", "ten_digits", "cell_capture", "special_field"))
+_C2 = " and ".join(f"not {_TESTS[t]}" for t in ("boolean", "special_field", "doi", "title"))
+
+
+@register(f"with {_DLOG}, k as (select * from log where {_C1}) select search_id, query, uid from k where query in (select query from k group by 1 having count(*) < 50)")
+def c1_clean(spark, sf):
+    """F1, F2, F6-F12, D1, A1, J1; the frequency limit is 50 here, as the tables are small."""
+    raw = _dirty(spark, sf).withColumn("serp", F.to_json("serp"))
+    return cleaning.clean_streaming(raw, ["ord"], limit=50).select("search_id", "query", "uid")
+
+
+@register(f"with {_DLOG}, k as (select * from log where {_C2}), h as (select *, row_number() over (partition by query order by ord) r from k where query in (select query from k group by 1 having count(*) < 100)) select date, search_id, serp, query, uid from h where r <= 50")
+def c2_clean(spark, sf):
+    """D2, F3, F4, F6, F9, F12-F17, A1, W1, X-s5."""
+    raw = _dirty(spark, sf).withColumn("serp", F.to_json("serp"))
+    return cleaning.clean_filtered(raw, ["ord"])
+
+
+@register("select max_by(doc_id, -doc_id) doc_id, text from documents group by text")
+def d1_unique(spark, sf):
+    """D1 on document texts."""
+    return cleaning.first_by(table(spark, sf, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+@register(f"with {LOG} select uid, ts from log where uid in (select uid from log group by 1 having count(*) <= 66)")
+def f18_uid_limit(spark, sf):
+    return cleaning.limit_uid_rows(search_log(spark, sf), 66).select("uid", "ts")
+
+
+@register(f"with {LOG} select search_id, case when ts >= a and ts < a+864000 then 'early' when ts >= a+864000 and ts < a+1728000 then 'late' end slice from log, (select 1704067200 a) where ts >= a and ts < a+1728000")
+def s13_time_slices(spark, sf):
+    a = 1_704_067_200
+    return cleaning.time_slices(search_log(spark, sf), "ts", [("early", a, a + 864_000), ("late", a + 864_000, a + 1_728_000)]).select("search_id", "slice")
+
+
+@register(f"with {LOG} select count(*) total, count(trackId) nn_trackId, count(type) nn_type, count(uid) nn_uid, count_if(query <> '' and uid <> '') query_and_uid from log")
+def a27_profile(spark, sf):
+    return quality.profile(search_log(spark, sf))
+
+
+@register(f"with {LOG} select case when type is not null then 'interaction' else 'query' end kind, type, count(*) n from log group by 1, 2")
+def a28_event_kinds(spark, sf):
+    return quality.event_kinds(search_log(spark, sf))
+
+
+@register(f"with {LOG} select count(*) queries, count(*) complete, cast(0 as bigint) incomplete from log where type is null")
+def a29_completeness(spark, sf):
+    return quality.completeness(search_log(spark, sf))
+
+
+@register(f"with {LOG} select cast(min(ts) as double) as first, cast(max(ts) as double) as last, min(date) first_text, max(date) last_text from log")
+def a30_date_range(spark, sf):
+    return quality.date_range(search_log(spark, sf))
+
+
+@register("""select p_partkey, list_filter(string_split_regex(lower(p_name), '\\s+'), lambda w: w <> '') tokens, trim(lower(p_name)) norm, regexp_replace(lower(p_name), '[\\s''\\-.]', '', 'g') squeezed, sha256(p_name) sha,
+ trim(regexp_replace(p_name, '[^0-9a-zA-Z]+', ' ', 'g')) sanitized, cast(len(regexp_extract_all(p_name, '\\w+|[^\\w\\s]')) as integer) n_tokens, array_to_string(list_transform(list_filter(string_split_regex(lower(p_name), '\\s+'), lambda w: w <> ''), lambda w: w[1]), '') initials from part""")
+def x_scalar_functions(spark, sf):
+    """X-s8, 9, 10, 13, 14, 16, 19, 23."""
+    q = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", T.tokens(q).alias("tokens"), T.norm(q).alias("norm"), T.squeeze(q).alias("squeezed"), F.sha2(q, 256).alias("sha"), T.sanitize(q).alias("sanitized"), T.token_count(q).alias("n_tokens"), T.initials(T.tokens(q)).alias("initials"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_INDEX = """po as (select term, docno, count(*) tf from (select cast(doc_id as varchar) docno, unnest(list_filter(string_split(lower(trim(regexp_replace(text, '[^0-9a-zA-Z]+', ' ', 'g'))), ' '), lambda w: w <> '')) term from documents) group by all),
+ ds as (select docno, sum(tf) len from po group by 1), tt as (select term, ln(1 + ((select count(*) from ds) - count(*) + 0.5)/(count(*) + 0.5)) idf from po group by 1),
+ qt as (select query, term, count(*) qtf from (select query, unnest(list_filter(string_split(lower(trim(regexp_replace(query, '[^0-9a-zA-Z]+', ' ', 'g'))), ' '), lambda w: w <> '')) term from (select distinct text query from benchmark)) group by all),
+ sc as (select query, docno, sum(qtf*idf*tf*2.2/(tf + 1.2*(0.25 + 0.75*len/(select avg(len) from ds)))) score from qt join tt using (term) join po using (term) join ds using (docno) group by all),
+ rk as (select *, row_number() over (partition by query order by round(score, 9) desc, docno) rank from sc)"""
+
+
+def _retrieved(spark, sf, topn):
+    index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text")
+    index = (index[0].withColumn("docno", F.col("docno").cast("string")), index[1].withColumn("docno", F.col("docno").cast("string")), index[2])
+    return vectors.retrieve(table(spark, sf, "benchmark").select(F.col("text").alias("query")), index, topn)
+
+
+@register(f"with {_INDEX} select query, docno, round(score, 6) score, rank from rk where rank <= 20")
+def j12_bm25(spark, sf):
+    """V6, V4, J12, T4."""
+    return _rows(_retrieved(spark, sf, 20), score=6).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register(f"with {_INDEX}, v as (select query, docno, score/sqrt(sum(score*score) over (partition by query)) w from rk where rank <= 100) select a.query q1, b.query q2, round(sum(a.w*b.w), 6) cosine from v a join v b using (docno) where a.query < b.query group by 1, 2")
+def v5_concept_cosine(spark, sf):
+    """Cosines of all pairs of benchmark texts that share a document."""
+    v = vectors.concept_vectors(_retrieved(spark, sf, 100))
+    a, b = v.select(F.col("query").alias("q1"), "term", F.col("weight").alias("w1")), v.select(F.col("query").alias("q2"), "term", F.col("weight").alias("w2"))
+    return _rows(a.join(b, "term").where("q1 < q2").groupBy("q1", "q2").agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")), cosine=6)
+
+
+@register()
+def r4_cascade_with_concepts(spark, sf):
+    """R4 with s3 over the documents' index (A15's input); checked in tests."""
+    q = queries_of(search_log(spark, sf))
+    index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text")
+    return sessions.cascade(q, vectors.concept_vectors(vectors.retrieve(q, index, 100))).select("search_id", "session_id", "stage", "esa_cos")
