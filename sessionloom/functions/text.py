@@ -78,12 +78,12 @@ def serp_ids(serp: Column) -> Column:
 
 def serp_ids_strict(serp: Column) -> Column:
     """Only the comma-separated parts that are all digits."""
-    return F.transform(F.filter(F.transform(F.split(serp, ","), F.trim), lambda x: x.rlike(r"^\d+\z")), lambda x: x.try_cast("bigint"))
+    return F.transform(F.filter(F.transform(F.split(serp, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+\z")), lambda x: x.try_cast("bigint"))
 
 
 def serp_set(serp: Column) -> Column:
     inner = F.regexp_replace(F.trim(serp), r"^[\[\]]+|[\[\]]+\z", "")
-    return F.array_distinct(F.filter(F.transform(F.split(inner, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

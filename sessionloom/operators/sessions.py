@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import cleaning, vectors
 
-DAY = Window.partitionBy("uid", "day").orderBy("ts", "ord")
+
+def _by_day():
+    return Window.partitionBy("uid", "day").orderBy("ts", "ord")
 
 
 def drop_bursts(df: DataFrame, least: int = 2) -> DataFrame:
@@ -27,12 +29,12 @@ def uid_day(df: DataFrame) -> DataFrame:
 
 def neighbours(df: DataFrame) -> DataFrame:
     """Adds prev_ts, prev_query, prev_serp and gap; null at the start of a user's day."""
-    return df.withColumns({f"prev_{c}": F.lag(c).over(DAY) for c in ("ts", "query", "serp")}).withColumn("gap", F.col("ts") - F.col("prev_ts"))
+    return df.withColumns({f"prev_{c}": F.lag(c).over(_by_day()) for c in ("ts", "query", "serp")}).withColumn("gap", F.col("ts") - F.col("prev_ts"))
 
 
 def numbered(df: DataFrame, boundary: Column) -> DataFrame:
     """Adds session_id: uid|day|running count of boundaries."""
-    k = F.sum(F.when(boundary, 1).otherwise(0)).over(DAY.rowsBetween(Window.unboundedPreceding, 0))
+    k = F.sum(F.when(boundary, 1).otherwise(0)).over(_by_day().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("session_id", F.concat_ws("|", "grp", k.cast("string")))
 
 

@@ -195,7 +195,7 @@ def a19_pair_identity(spark, sf):
     return quality.pair_identity(_gap(spark, sf))
 
 
-@register(f"with {LOG} select uid, count(distinct day) days, count(*) n from q0 group by 1")
+@register(f"with {LOG} select uid, count(distinct day) as days, count(*) n from q0 group by 1")
 def a20_days_per_uid(spark, sf):
     return quality.days_per_uid(sessions.uid_day(queries_of(search_log(spark, sf))))
 
@@ -216,7 +216,7 @@ def _bots(spark, sf):
     return timed, sessions.regular_bots(timed, most_mean=20_000, most_std=9_000)
 
 
-@register(f"with {_BOTS} select count_if(b > 0 and b = n) only_bot, count_if(b = 0) only_other, count_if(b > 0 and b < n) both from (select tm.uid, count(*) n, count(bots.session_id) b from tm left join bots using (session_id) group by 1)")
+@register(f"with {_BOTS} select count_if(b > 0 and b = n) only_bot, count_if(b = 0) only_other, count_if(b > 0 and b < n) as both from (select tm.uid, count(*) n, count(bots.session_id) b from tm left join bots using (session_id) group by 1)")
 def a4_uid_overlap(spark, sf):
     return quality.uid_overlap(*_bots(spark, sf))
 

@@ -41,7 +41,7 @@ def read_tsv(spark: SparkSession, path: str, quoted: bool = True, schema: S.Stru
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+    df.write.mode(mode).option("sep", "\t").option("header", True).option("escape", "\"").csv(path)
 
 
 def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
