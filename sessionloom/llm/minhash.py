@@ -150,21 +150,26 @@ def _face(batches, percent: int, least: float, band: int):
             ra, rb = (np.stack([np.frombuffer(x["registers"], np.uint16) for x in side]) for side in (strays, members))
             ka, kb = bands(ra, band), bands(rb, band)
             at = int(np.flatnonzero(ka[0].view(np.int64) == key)[0])
-            sets = [np.frombuffer(x["set"], np.uint64) for x in members]
-            every, owner, size = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])
-            component = np.array([x["c"] for x in members])
+            sets_a, sets_b = ([np.frombuffer(x["set"], np.uint64) for x in side] for side in (strays, members))
+            na, nb = (np.array([len(x) for x in side]) for side in (sets_a, sets_b))
+            ca, cb = (np.array([x["c"] for x in side]) for side in (strays, members))
+            ask = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+            ask &= ~(ka[:, None, :at] == kb[None, :, :at]).any(axis=2)
+            p, q = np.nonzero(ask)
+            if len(p):  # a register agrees with probability J at least, so few agreements rule a pair out
+                near = (ra[p] == rb[q]).sum(axis=1) >= least * ra.shape[1]
+                p, q = p[near], q[near]
+            if len(p):
+                near = likely_jaccard(ra[p], rb[q], na[p].astype(float), nb[q].astype(float)) >= least
+                p, q = p[near], q[near]
             links = []
-            for j, x in enumerate(strays):
-                mine = np.frombuffer(x["set"], np.uint64)
-                n = len(mine)
-                ask = (component != x["c"]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & ~(kb[:, :at] == ka[j, :at]).any(axis=1)
-                if ask.any():
-                    where = np.flatnonzero(ask)
-                    ask[where[likely_jaccard(np.broadcast_to(ra[j], (len(where), ra.shape[1])), rb[where], np.full(len(where), float(n)), size[where].astype(float)) < least]] = False
-                if ask.any():
-                    place = np.minimum(np.searchsorted(mine, every), n - 1)
-                    both = np.bincount(owner[mine[place] == every], minlength=len(sets))
-                    links += [(min(x["id"], members[k]["id"]), max(x["id"], members[k]["id"])) for k in np.flatnonzero(ask & (100 * both >= percent * (n + size - both)))]
+            for j in np.unique(p):
+                asked = q[p == j]
+                every, owner = np.concatenate([sets_b[k] for k in asked]), np.repeat(np.arange(len(asked)), nb[asked])
+                place = np.minimum(np.searchsorted(sets_a[j], every), na[j] - 1)
+                both = np.bincount(owner[sets_a[j][place] == every], minlength=len(asked))
+                good = asked[100 * both >= percent * (na[j] + nb[asked] - both)]
+                links += [(min(strays[j]["id"], members[k]["id"]), max(strays[j]["id"], members[k]["id"])) for k in good]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
