@@ -52,13 +52,20 @@ def index_terms(text):
     return F.filter(F.split(F.lower(T.sanitize(text)), " "), lambda w: w != "")
 
 
-def inverted_index(documents: DataFrame, docno: str, text: str, stop: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (term, docno, tf), doc_stats (docno, len) and term_stats (term, df)."""
-    words = documents.select(F.col(docno).alias("docno"), F.explode(index_terms(F.col(text))).alias("term"))
+def inverted_index(documents: DataFrame, docno: str, text: str, stop: list[str] | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings (term, docno, tf), doc_stats (docno, len) and term_stats (term, df).
+
+    asked: queries (query) to answer; postings then hold their terms alone, as lengths need no postings.
+    """
+    terms = index_terms(F.col(text))
     if stop:
-        words = words.where(~F.col("term").isin(stop))
+        terms = F.filter(terms, lambda w: ~w.isin(stop))
+    listed = documents.select(F.col(docno).cast("string").alias("docno"), terms.alias("terms")).where(F.size("terms") > 0)
+    words = listed.select("docno", F.explode("terms").alias("term"))
+    if asked is not None:
+        words = words.join(asked.select(F.explode(index_terms(F.col("query"))).alias("term")).distinct(), "term", "left_semi")
     postings = words.groupBy("term", "docno").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, postings.groupBy("docno").agg(F.sum("tf").alias("len")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return postings, listed.groupBy("docno").agg(F.sum(F.size("terms")).alias("len")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def retrieve(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], topn: int = 1000, k1: float = 1.2, b: float = 0.75) -> DataFrame:

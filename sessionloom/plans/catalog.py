@@ -511,9 +511,8 @@ _INDEX = """po as (select term, docno, count(*) tf from (select cast(doc_id as v
 
 
 def _retrieved(spark, sf, topn):
-    index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text")
-    index = (index[0].withColumn("docno", F.col("docno").cast("string")), index[1].withColumn("docno", F.col("docno").cast("string")), index[2])
-    return vectors.retrieve(table(spark, sf, "benchmark").select(F.col("text").alias("query")), index, topn)
+    asked = table(spark, sf, "benchmark").select(F.col("text").alias("query"))
+    return vectors.retrieve(asked, vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text", asked=asked), topn)
 
 
 @register(f"with {_INDEX} select query, docno, round(score, 6) score, rank from rk where rank <= 20")
@@ -534,5 +533,5 @@ def v5_concept_cosine(spark, sf):
 def r4_cascade_with_concepts(spark, sf):
     """R4 with s3 over the documents' index (A15's input); checked in tests."""
     q = queries_of(search_log(spark, sf))
-    index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text")
+    index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text", asked=q)
     return sessions.cascade(q, vectors.concept_vectors(vectors.retrieve(q, index, 100))).select("search_id", "session_id", "stage", "esa_cos")
