@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stemming import equal_stems
 from . import cleaning
 
 REFINING = ("Add Words", "Remove Words", "Word Substitution", "Substring", "Superstring")
@@ -53,16 +54,32 @@ def pairs(sessions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return p.where("k > 1").drop("k")
 
 
-def labelled(sessions: DataFrame, drop_structured: bool = False) -> DataFrame:
+def labelled(sessions: DataFrame, drop_structured: bool = False, stemming: bool = False, related: DataFrame | None = None) -> DataFrame:
     """:func:`pairs` with strategy; a pair with a structured query has a null strategy on demand.
 
-    Distinct pairs are few against rows, but classification is cheap and needs no shuffle of its own.
+    stemming: with the rule on equal stems. related: (w1, w2) words that may stand for each other, in both directions.
     """
     p = pairs(sessions)
-    label = classify(F.col("q_prev"), F.col("q_curr"))
+    stems = substituted = None
+    if stemming:
+        p = p.join(equal_stems(p), ["q_prev", "q_curr"], "left")
+        stems = F.coalesce("stems", F.lit(False))
+    if related is not None:
+        p = p.join(all_related(p, related), ["q_prev", "q_curr"], "left")
+        substituted = F.coalesce("related", F.lit(False))
+    label = classify(F.col("q_prev"), F.col("q_curr"), stems, substituted)
     if drop_structured:
         label = F.when(~F.coalesce(cleaning.is_structured_pair(F.col("q_prev"), F.col("q_curr")), F.lit(False)), label)
-    return p.withColumn("strategy", label)
+    return p.withColumn("strategy", label).drop("stems", "related")
+
+
+def all_related(p: DataFrame, related: DataFrame) -> DataFrame:
+    """q_prev, q_curr, related: whether the queries have as many words, equal or related place by place (distinct pairs)."""
+    t1, t2 = T.tokens(F.col("q_prev")), T.tokens(F.col("q_curr"))
+    same = p.select("q_prev", "q_curr").distinct().where((F.size(t1) == F.size(t2)) & (F.size(t1) > 0))
+    words = same.select("q_prev", "q_curr", F.explode(F.arrays_zip(t1.alias("w1"), t2.alias("w2"))).alias("z")).select("q_prev", "q_curr", "z.w1", "z.w2")
+    both = related.select("w1", "w2").unionByName(related.select(F.col("w2").alias("w1"), F.col("w1").alias("w2"))).distinct().withColumn("hit", F.lit(True))
+    return words.join(both, ["w1", "w2"], "left").groupBy("q_prev", "q_curr").agg(F.bool_and((F.col("w1") == F.col("w2")) | F.coalesce("hit", F.lit(False))).alias("related"))
 
 
 def distribution(labels: DataFrame) -> DataFrame:

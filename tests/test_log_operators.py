@@ -145,3 +145,19 @@ def test_retrieval_orders_by_relevance(spark):
     q = spark.createDataFrame([("spark joins",), ("bread",)], "query string")
     got = vectors.retrieve(q, index).orderBy("query", "rank").collect()
     assert [(r.query, r.docno, r["rank"]) for r in got] == [("bread", "d3", 1), ("spark joins", "d1", 1), ("spark joins", "d2", 2)]
+
+
+def test_stems():
+    from sessionloom.functions.stemming import stem
+
+    # Examples of the published steps.
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "networks": "network", "triplicate": "triplic", "electrical": "electr", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "cease": "ceas", "controll": "control", "recieve": "reciev", "receive": "receiv"}
+    assert {w: stem(w) for w in want} == want
+
+
+def test_labels_with_stems_and_related_words(spark):
+    s = sessions.gap_sessions(log(spark, [(0, "neural networks", [1]), (5, "neural network", [1]), (0, "big car", [1], "v"), (5, "big automobile", [1], "v")]))
+    related = spark.createDataFrame([("automobile", "car")], "w1 string, w2 string")
+    got = {r.strategy for r in reformulation.labelled(s, stemming=True, related=related).collect()}
+    assert got == {"Stemming", "Word Substitution"}
+    assert {r.strategy for r in reformulation.labelled(s).collect()} == {"Substring", "New"}
