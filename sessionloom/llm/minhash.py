@@ -234,8 +234,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
         with_sets = many.join(reps.select("id", "registers").hint("merge"), "id").join(sets.hint("merge"), "id")
         part = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
         members = with_sets.groupBy("key", "blocks", part.alias("part")).agg(F.collect_list(row).alias("members"))
-        strays = with_sets.where("c <> hub_c").groupBy("key", part.alias("stray_part")).agg(F.collect_list(row).alias("strays"))
-        facing = strays.join(members.hint("merge"), "key").select("key", "strays", "members")
+        strays = with_sets.where("c <> hub_c").groupBy("key", "blocks", part.alias("stray_part")).agg(F.collect_list(row).alias("strays"))
+        strays = strays.select("key", "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))  # a bucket's blocks go to as many tasks
+        facing = strays.join(members.hint("merge"), ["key", "part"]).select("key", "strays", "members")
         links = links.unionByName(facing.mapInArrow(partial(_face, percent=percent, least=likely_at, band=band), "a long, b long").distinct())
     label = components(links, "mh")
     out = all_.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
