@@ -19,32 +19,29 @@ from pyspark.sql import functions as F
 from .common import stage, text_slices
 from .tokens import NOT_SPACE, Words, mix, shingles
 
+PLACE = 22
 BITS = 21  # places within a document fit into 21 bits each: 2 million shingles
 
 
 def compact_windows(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, left, centre, right of the compact windows of ``least`` tokens or more, level by level of the Cartesian trees.
 
-    Of equal smallest hashes the leftmost is the centre.
+    Hashes are compared by all but their lowest PLACE bits; of equal smallest ones the leftmost is the centre. h may have
+    2**PLACE tokens at most.
     """
     low, high, row = off[:-1].copy(), off[1:].copy(), np.arange(len(off) - 1)
+    mask = np.uint64((1 << PLACE) - 1)
+    packed = np.append((h & ~mask) | np.arange(len(h), dtype=np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))  # a minimum carries its place
     out = []
     while True:
         wide = high - low >= least
         low, high, row = low[wide], high[wide], row[wide]
         if not len(low):
             break
-        cuts = np.stack([low, high], axis=1).reshape(-1)
-        padded = np.append(h, np.uint64(0xFFFFFFFFFFFFFFFF))
-        smallest = np.minimum.reduceat(padded, cuts)[::2]
-        length = high - low
-        each = np.repeat(np.arange(len(low)), length)
-        at = np.arange(len(each)) - np.repeat(np.cumsum(length) - length, length) + low[each]
-        hit = np.flatnonzero(h[at] == smallest[each])
-        owner, first = np.unique(each[hit], return_index=True)
-        centre = at[hit[first]]
+        smallest = np.minimum.reduceat(packed, np.stack([low, high], axis=1).reshape(-1))[::2]
+        centre = (smallest & mask).astype(np.int64)
         out.append((row, low, centre, high))
-        low, high, row = np.concatenate([low, centre + 1]), np.concatenate([centre, high]), np.concatenate([row, row])
+        low, high, row = np.stack([low, centre + 1], axis=1).reshape(-1), np.stack([centre, high], axis=1).reshape(-1), np.repeat(row, 2)
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     row, low, centre, high = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -56,6 +53,8 @@ def _windows(batches, functions: int, least: int, k: int):
     for whole in batches:
         for part in text_slices(whole, most_bytes=1 << 19):
             h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
+            if np.diff(off).max(initial=0) >= 1 << BITS:
+                raise ValueError(f"a text of {np.diff(off).max()} shingles; places hold {BITS} bits")
             ids = part.column("id").to_numpy(zero_copy_only=False)
             for f in range(functions):
                 g = mix(h ^ mix(np.array([f + 1], np.uint64)))
@@ -88,6 +87,7 @@ def verified(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], words:
     """Passages (start and end word in a, in b, similarity) around the seeds (centres in a, b), by the shingles themselves."""
     in_a, in_b = np.isin(a, b), np.isin(b, a)
     out: list[tuple[int, int, int, int, float]] = []
+    tried: set[tuple[int, int, int, int]] = set()
     for i, j in sorted(set(seeds)):
         if any(x <= i <= y - k and u <= j <= v - k for x, y, u, v, _ in out):
             continue
@@ -96,7 +96,8 @@ def verified(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], words:
             (x, y), (u, v) = _grown(in_a, i, hole), _grown(in_b, j, hole)
             near = (max(x, i - (j - u)), min(y, i + (v - j)), max(u, j - (i - x)), min(v, j + (y - i)))
             for p, q, r, s in ((x, y, u, v), near):
-                if best is None and min(q - p, s - r) + k >= words:
+                if best is None and (p, q, r, s) not in tried and min(q - p, s - r) + k >= words:
+                    tried.add((p, q, r, s))
                     one, two = np.unique(a[p : q + 1]), np.unique(b[r : s + 1])
                     both = len(np.intersect1d(one, two, assume_unique=True))
                     if 100 * both >= percent * (len(one) + len(two) - both):
@@ -107,18 +108,23 @@ def verified(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], words:
 
 
 def _verify(batches, words: int, k: int, percent: int, gap: int, agree: int):
+    mask = (1 << BITS) - 1
     for batch in batches:
         out = []
+        hits = batch.column("hits")
+        first = np.asarray(hits.offsets) - hits.offsets[0].as_py() if len(hits) else []
+        fields = [v.to_numpy(zero_copy_only=False) for v in hits.flatten().flatten()]
+        ids_a, ids_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
         for i in range(batch.num_rows):
-            x, y, hits = (batch.column(c)[i].as_py() for c in ("a", "b", "hits"))
-            ta, tb = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("ta", "tb"))
-            mask = (1 << BITS) - 1
-            spans = [(h["f"], *((h[s] >> (2 * BITS), h[s] >> BITS & mask, h[s] & mask) for s in ("pa", "pb"))) for h in hits]
-            seeds = []
-            for f, (l1, c1, r1), (l2, c2, r2) in spans:
-                met = {f} | {g for g, (l3, c3, r3), (l4, c4, r4) in spans if min(r1, r3) - max(l1, l3) >= words - k + 1 and min(r2, r4) - max(l2, l4) >= words - k + 1}
-                if len(met) >= agree:
-                    seeds.append((c1, c2))
+            x, y = int(ids_a[i]), int(ids_b[i])
+            ta, tb = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("ta", "tb"))
+            f, pa_, pb_ = (v[first[i] : first[i + 1]] for v in fields)
+            meet = np.ones((len(f), len(f)), bool)  # windows that hold a common stretch long enough, in both texts
+            for place in (pa_, pb_):
+                left, right = place >> (2 * BITS), place & mask
+                meet &= np.minimum(right[:, None], right) - np.maximum(left[:, None], left) >= words - k + 1
+            met = sum((meet[:, f == g].any(axis=1).astype(int) for g in np.unique(f)), np.zeros(len(f), int))
+            seeds = [(int(c1), int(c2)) for c1, c2, n in zip(pa_ >> BITS & mask, pb_ >> BITS & mask, met, strict=True) if n >= agree]
             out += [(x, *span[:2], y, *span[2:]) for span in verified(ta, tb, seeds, words, k, percent, gap)]
         if out:
             columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
@@ -136,7 +142,7 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     Documents with equal texts form a class: the smallest id is compared with other texts, the other copies point to it with
     their whole text. Texts are chained in the order of ids for each signature, so every document of a repeated passage is in
     some row, yet pairs within a group are not all listed. Null and shorter texts, and rows with a null doc_id, have no rows.
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased.
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of over two million words is an error.
     """
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("t"), F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long").alias("n")).where(F.col("n") >= words)

@@ -23,7 +23,7 @@ def brute_windows(h, least):
 
 def test_compact_windows_equal_recursion():
     rng = np.random.default_rng(3)
-    parts = [rng.integers(0, 50, n).astype(np.uint64) for n in (0, 3, 40, 200, 1)]
+    parts = [rng.integers(0, 50, n).astype(np.uint64) << np.uint64(40) for n in (0, 3, 40, 200, 1)]
     off = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     row, left, centre, right = passages.compact_windows(np.concatenate(parts), off, 5)
     for i, p in enumerate(parts):
