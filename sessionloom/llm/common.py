@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -20,13 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and no executor holds the only copy."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of finished jobs, whose results are written: it waits for a collection of the driver's heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage_observed(df: DataFrame, name: str, **what) -> tuple[DataFrame, dict]:
     """:func:`stage`, with aggregates taken while the rows are written."""
     seen = Observation()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
+from .common import release, stage, text_slices
 from .tokens import NOT_SPACE, Words, mix, shingles
 
 PLACE = 22
@@ -60,14 +60,32 @@ def _windows(batches, functions: int, least: int, k: int):
                 g = mix(h ^ mix(np.array([f + 1], np.uint64)))
                 row, left, centre, right = compact_windows(g, off, least)
                 place = (left << (2 * BITS)) | (centre << BITS) | right
-                yield pa.RecordBatch.from_arrays([pa.array(g[off[row] + centre].view(np.int64)), pa.array(np.full(len(row), f, np.int32)), pa.array(ids[row]), pa.array(place)], ["signature", "f", "id", "place"])
-
-
-def _tokens(batches, k: int):
-    for whole in batches:
-        for part in text_slices(whole):
-            h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([h[i:j].tobytes() for i, j in zip(off, off[1:], strict=False)], pa.binary())], ["id", "tokens"])
+                signature = (g[off[row] + centre] >> np.uint64(4)).astype(np.int64)
+                signature += f - signature % functions  # the function is its remainder
+                yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(ids[row]), pa.array(place)], ["signature", "id", "place"])
+
+
+def _with_tokens(batch: pa.RecordBatch, key: str, k: int):
+    """Row and shingles of its text, in order; a text of consecutive rows with one key is cut once."""
+    ids = batch.column(key).to_numpy(zero_copy_only=False)
+    new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    upto = np.append(new[1:], len(ids))
+    at = 0
+    for part in text_slices(pa.RecordBatch.from_arrays([batch.column("text").take(pa.array(new))], ["text"])):
+        h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
+        for i, j in zip(off, off[1:], strict=False):
+            for row in range(new[at], upto[at]):
+                yield row, h[i:j]
+            at += 1
+
+
+def _cut(batches, k: int):
+    """The shingles of text a between the outermost windows of the pair, instead of the text."""
+    keep = ["a", "b", "hits", "la", "lb", "rb"]
+    for batch in batches:
+        low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("la", "ra"))
+        pieces = [h[low[i] : high[i]].tobytes() for i, h in _with_tokens(batch, "a", k)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pieces, pa.binary())], [*keep, "ta"])
 
 
 def _grown(shared: np.ndarray, at: int, gap: int) -> tuple[int, int]:
@@ -114,18 +132,18 @@ def _verify(batches, words: int, k: int, percent: int, gap: int, agree: int):
         hits = batch.column("hits")
         first = np.asarray(hits.offsets) - hits.offsets[0].as_py() if len(hits) else []
         fields = [v.to_numpy(zero_copy_only=False) for v in hits.flatten().flatten()]
-        ids_a, ids_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        for i in range(batch.num_rows):
-            x, y = int(ids_a[i]), int(ids_b[i])
-            ta, tb = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("ta", "tb"))
+        ids_a, ids_b, low_a, low_b, high_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "la", "lb", "rb"))
+        for i, whole in _with_tokens(batch, "b", k):
+            x, y, from_a, from_b = int(ids_a[i]), int(ids_b[i]), int(low_a[i]), int(low_b[i])
+            ta, tb = np.frombuffer(batch.column("ta")[i].as_buffer(), np.uint64), whole[from_b : high_b[i]]
             f, pa_, pb_ = (v[first[i] : first[i + 1]] for v in fields)
             meet = np.ones((len(f), len(f)), bool)  # windows that hold a common stretch long enough, in both texts
             for place in (pa_, pb_):
                 left, right = place >> (2 * BITS), place & mask
                 meet &= np.minimum(right[:, None], right) - np.maximum(left[:, None], left) >= words - k + 1
             met = sum((meet[:, f == g].any(axis=1).astype(int) for g in np.unique(f)), np.zeros(len(f), int))
-            seeds = [(int(c1), int(c2)) for c1, c2, n in zip(pa_ >> BITS & mask, pb_ >> BITS & mask, met, strict=True) if n >= agree]
-            out += [(x, *span[:2], y, *span[2:]) for span in verified(ta, tb, seeds, words, k, percent, gap)]
+            seeds = [(int(c1) - from_a, int(c2) - from_b) for c1, c2, n in zip(pa_ >> BITS & mask, pb_ >> BITS & mask, met, strict=True) if n >= agree]
+            out += [(x, p + from_a, q + from_a, y, r + from_b, s + from_b, likeness) for p, q, r, s, likeness in verified(ta, tb, seeds, words, k, percent, gap)]
         if out:
             columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start_word", "end_word", "other_doc_id", "other_start_word", "other_end_word", "similarity"])
@@ -141,21 +159,28 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
 
     Documents with equal texts form a class: the smallest id is compared with other texts, the other copies point to it with
     their whole text. Texts are chained in the order of ids for each signature, so every document of a repeated passage is in
-    some row, yet pairs within a group are not all listed. Null and shorter texts, and rows with a null doc_id, have no rows.
+    some row, yet pairs within a group are not all listed. A passage is sought between the outermost windows of its pair. Null
+    and shorter texts, and rows with a null doc_id, have no rows; of the texts of a repeated doc_id one is compared.
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of over two million words is an error.
     """
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("t"), F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long").alias("n")).where(F.col("n") >= words)
     classes = stage(keyed.groupBy("t").agg(F.min("doc_id").alias("id")), "cw-classes")
-    reps = docs.withColumn("t", F.sha2("text", 256)).join(classes.hint("merge"), "t").where("doc_id = id").dropDuplicates(["id"]).select("id", "text")
-    windows = reps.mapInArrow(partial(_windows, functions=functions, least=words - k + 1, k=k), "signature long, f int, id long, place long")
-    order = Window.partitionBy("signature", "f").orderBy("id", "place")
-    before = windows.select("f", F.col("id").alias("a"), F.col("place").alias("pa"), F.lag("id").over(order).alias("b"), F.lag("place").over(order).alias("pb"))
-    pairs = before.where("b is not null and a <> b").groupBy("a", "b").agg(F.collect_list(F.struct("f", "pa", "pb")).alias("hits")).where(F.size(F.array_distinct(F.col("hits.f"))) >= agree)
-    pairs = stage(pairs, "cw-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    tokens = stage(docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(partial(_tokens, k=k), "id long, tokens binary"), "cw-tokens")
-    ready = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
-    near = ready.mapInArrow(partial(_verify, words=words, k=k, percent=percent, gap=gap, agree=agree), SCHEMA)
+    chosen = classes.groupBy("id").agg(F.min("t").alias("t"))
+    reps = docs.select(F.sha2("text", 256).alias("t"), F.col("doc_id").alias("id"), "text").join(chosen.hint("merge"), ["t", "id"], "left_semi")
+    reps = stage(reps.dropDuplicates(["t", "id"]).select("id", "text"), "cw-texts", compression="zstd")
+    release(docs.sparkSession)
+    windows = reps.mapInArrow(partial(_windows, functions=functions, least=words - k + 1, k=k), "signature long, id long, place long")
+    order = Window.partitionBy("signature").orderBy("id", "place")
+    before = windows.select(F.pmod("signature", F.lit(functions)).cast("int").alias("f"), F.col("id").alias("a"), F.col("place").alias("pa"), F.lag("id").over(order).alias("b"), F.lag("place").over(order).alias("pb"))
+    left, right = lambda c: F.shiftright(c, 2 * BITS), lambda c: F.col(c).bitwiseAND((1 << BITS) - 1)
+    outermost = F.min(left("pa")).alias("la"), F.max(right("pa")).alias("ra"), F.min(left("pb")).alias("lb"), F.max(right("pb")).alias("rb")
+    pairs = before.where("b is not null and a <> b").groupBy("a", "b").agg(F.collect_list(F.struct("f", "pa", "pb")).alias("hits"), *outermost)
+    pairs = stage(pairs.where(F.size(F.array_distinct(F.col("hits.f"))) >= agree), "cw-pairs")
+    release(docs.sparkSession)
+    kinds = "a long, b long, hits array<struct<f:int,pa:long,pb:long>>, la long, lb long, rb long, ta binary"
+    ready = stage(pairs.join(reps.withColumnRenamed("id", "a").hint("merge"), "a").mapInArrow(partial(_cut, k=k), kinds), "cw-ready")
+    release(docs.sparkSession)
+    near = ready.join(reps.withColumnRenamed("id", "b").hint("merge"), "b").mapInArrow(partial(_verify, words=words, k=k, percent=percent, gap=gap, agree=agree), SCHEMA)
     copies = keyed.join(classes.hint("merge"), "t").where("doc_id <> id").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("other_start_word"), F.col("n").alias("other_end_word"), F.lit(1.0).alias("similarity"))
     return near.unionByName(copies)
