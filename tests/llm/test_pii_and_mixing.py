@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -41,6 +42,21 @@ def test_replace_rows(spark):
     assert pii.replace(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("only", ["+45 12 34 56 78", "+47 22-33-44-55", "41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1", "DE12 ABCD EFGH IJKL", "10.2.3.4", "a@b.de", "pwd=abcdefgh", "Sra. Ida"])
+def test_hint_is_no_narrower_than_the_patterns(only):
+    new, found = pii.Replacer(b"k")(f"so {only} it is")
+    assert len(found) == 1 and only not in new
+    assert found == pii.Replacer(b"k")(f"so {only} it is")[1] == pii.Replacer(b"k")(f"so {only} it is, room 1234")[1]
+
+
+def test_texts_without_hint_have_no_entity():
+    rng, replacer = random.Random(5), pii.Replacer(b"k")
+    parts = ["+4", "1", "22", "3", " ", "-", ".", "AB", "KEY", "DE", "x", "Mr", "Herr", "Ida", "(", ")", "=", "pwd", "@"]
+    for _ in range(100_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 24)))
+        assert replacer.hint.search(text) or not replacer.find.search(text), text
+
+
 def mixture_rows():
     return [(i, "word " * (1 + i % 7) + ("licence" if i % 5 == 0 else ""), None if i % 11 == 0 else ["en", "de", "fr"][i // 3 % 3], "big" if i % 3 else f"s{i % 4}") for i in range(600)]
 
