@@ -3,7 +3,8 @@
 Detected entities get keyed replacements of the same kind, script and format: every digit becomes a digit and every
 letter a letter of the same case and alphabet, separators and fixed parts stay. The mapping is a keyed permutation of all
 texts of one format (a Feistel network over the variable characters), so different entities never collide and the same entity
-is replaced alike wherever it stands. Names after a title are exchanged for names of the same gender and script.
+is replaced alike wherever it stands. Given names after a title are exchanged for names of the same gender and script, the other
+words of the name are permuted. Secrets are taken as a whole run of any length.
 """
 
 from __future__ import annotations
@@ -18,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A word of a name: letters with apostrophes inside, or an initial with its dot; and what may stand between or before such words and stays.
+_WORD = r"[A-ZÀ-ÖØ-Þ](?:\.|(?:['’]?[^\W\d_])+)"
+_RANK = r"(?:Dr|Prof|Dipl|Ing)\.? "
+_PARTICLE = r"(?:(?:von|van|der|den|de|del|della|di|da|du|la|le|zu|zum|zur|y|e) ){1,3}"
 # Kinds of entities and their patterns; the group ``keep`` before and ``tail`` after stay as they are.
 PATTERNS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"),
-    ("secret", r"(?i:(?P<keep_secret>\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?))[A-Za-z0-9+/_\-]{8,128}"),
+    ("secret", r"(?i:(?P<keep_secret>\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?))(?=[A-Za-z0-9+/_\-](?:\.?[A-Za-z0-9+/_\-]){7})[A-Za-z0-9+/_\-]+(?:[.=~%!#$^*@]+[A-Za-z0-9+/_\-]+)*"),
     ("access_key", r"(?<![A-Za-z0-9])(?P<keep_access_key>AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])(?P<keep_iban>[A-Z]{2})\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"),
     ("phone", r"(?<![\d(+-])(?P<keep_phone>\+\d{1,2}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"),
-    ("intl_phone", r"(?<![\d+])(?P<keep_intl_phone>\+\d{1,2})(?:[ .-]?\d{2,4}){3,5}(?![\d-])"),
-    ("name", r"(?P<keep_name>\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\.? )[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}\b"),
+    ("intl_phone", r"(?<![\d+])(?P<keep_intl_phone>\+\d{1,2})(?:[ .-]?\d{2,4}){3,7}(?![\d-])"),
+    ("name", rf"(?P<keep_name>\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\.? )(?:{_RANK}){{0,3}}(?:{_PARTICLE})?{_WORD}(?:[ -](?:{_PARTICLE})?{_WORD})*(?!\w)"),
 )
 # Titles by gender; given names by gender.
 FEMALE = {"Mrs", "Ms", "Frau", "Madame", "Mme", "Señora", "Sra"}
@@ -42,6 +47,7 @@ _FINDER = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS)
 _HINT = r"@|\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d|\d(?:[ -]?\d){12}|(?i:passw|pwd|token|secret|key)|AKIA|ASIA|\b(?:Mrs?|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b"
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _OF = {c: a for a in _ALPHABETS for c in a}
+_FIXED_WORDS = re.compile(rf"{_RANK}|{_PARTICLE}|[ -]")
 _HEX = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
 
 
@@ -103,25 +109,50 @@ def _ip(text: str, key: bytes) -> str:
             return ".".join(parts)
 
 
+def _in_blocks(text: str, kind: str, key: bytes, size: int = 128, **how) -> str:
+    """:func:`permute` for texts of any length: block by block, each one's kind holding what stands before it, so it stays one to one."""
+    out, seen = [], hashlib.sha256()
+    for i in range(0, len(text), size):
+        out.append(permute(text[i : i + size], f"{kind}|{seen.hexdigest()}" if i else kind, key, **how))
+        seen.update(text[i : i + size].encode())
+    return "".join(out)
+
+
+def _name(body: str, names: list[str], key: bytes) -> str:
+    """The first word by a given name, the other words by permuted ones; ranks, particles and separators stay."""
+    out, at, given = [], 0, True
+    while at < len(body):
+        fixed = _FIXED_WORDS.match(body, at)
+        end = fixed.end() if fixed else next((i for i in range(at, len(body)) if body[i] in " -"), len(body))
+        word = body[at:end]
+        if fixed:
+            out.append(word)
+        elif given and word in names:  # a keyed shift of the list is one to one
+            out.append(names[(names.index(word) + 1 + int.from_bytes(hmac.new(key, names[0].encode(), hashlib.sha256).digest()[:4], "big") % (len(names) - 1)) % len(names)])
+        else:
+            plain = _in_blocks(word, "name", key, fixed=lambda t, i: t[i] not in _OF)
+            while given and plain in names:
+                plain = permute(plain, "name", key, lambda t, i: t[i] not in _OF)
+            out.append(plain)
+        given, at = given and bool(fixed), end
+    return "".join(out)
+
+
 def surrogate(kind: str, text: str, keep: str, key: bytes) -> str:
     """The replacement of an entity; ``keep`` is its fixed beginning."""
     body = text[len(keep) :]
     if kind == "ip":
         return _ip(text, key)
     if kind == "name":
-        names = NAMES["f" if keep.strip(" .") in FEMALE else "m"]
-        if body in names:  # a keyed shift of the list is one to one
-            return keep + names[(names.index(body) + 1 + int.from_bytes(hmac.new(key, names[0].encode(), hashlib.sha256).digest()[:4], "big") % (len(names) - 1)) % len(names)]
-        plain = permute(body, kind, key, lambda t, i: t[i] not in _OF)
-        return keep + (plain if plain not in names else permute(plain, kind, key))
+        return keep + _name(body, NAMES["f" if keep.strip(" .") in FEMALE else "m"], key)
     if kind == "email":
         return keep + permute(body, kind, key, lambda t, i: i > t.rindex("."))
     if kind == "secret":  # hexadecimal secrets stay so, others walk on until they are none
         if set(body) <= _HEX.keys():
-            return keep + permute(body, kind, key, of=_HEX)
-        body = permute(body, kind, key)
+            return keep + _in_blocks(body, kind, key, of=_HEX)
+        body = _in_blocks(body, kind, key)
         while set(body) <= _HEX.keys():
-            body = permute(body, kind, key)
+            body = _in_blocks(body, kind, key)
         return keep + body
     return keep + permute(body, kind, key)
 

@@ -57,6 +57,42 @@ def test_texts_without_hint_have_no_entity():
         assert replacer.hint.search(text) or not replacer.find.search(text), text
 
 
+@pytest.mark.parametrize("length", [8, 128, 129, 300, 5000])
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyzABCDEFG0123456789-_", "0123456789abcdef", "abcdefgh.0123"])
+def test_no_part_of_a_secret_is_left(length, letters):
+    rng = random.Random(length)
+    secret = "a" + "".join(rng.choices(letters, k=length - 2)).replace("..", ".1") + "b"
+    if "." in letters:
+        secret = secret[:4].replace(".", "x") + secret[4:9].replace(".", "7") + secret[9:]
+    new, found = pii.Replacer(b"k")(f"token = {secret}. End")
+    assert [(k, o) for k, o, _ in found] == [("secret", f"token = {secret}")] and len(new) == len(secret) + 13 and new.endswith(". End")
+    got = new[8:-5]
+    assert not any(secret[i : i + 8] in got for i in range(len(secret) - 7))
+    assert "." in letters or (set(got) <= set("0123456789abcdef")) == (letters == "0123456789abcdef")
+
+
+@pytest.mark.parametrize("name", ["Anna Schmidt", "Anna Maria Schmidt-Huber", "Wera O'Neill", "Anna McDonald", "J. Miller", "Dr. Anna Schmidt", "Anna von Berg", "Schmidt", "Ann"])
+def test_no_part_of_a_name_is_left(name):
+    new, found = pii.Replacer(b"k")(f"Then Mrs {name} went. The end")
+    assert [(k, o) for k, o, _ in found] == [("name", f"Mrs {name}")] and new.startswith("Then Mrs ") and new.endswith(" went. The end")
+    words = [w for w in name.replace("-", " ").split() if w not in ("Dr.", "von", "J.")]
+    assert not set(words) & set(new[9:].replace("-", " ").split())
+
+
+def test_sentence_after_a_name_stays():
+    assert pii.Replacer(b"k")("Mr Bruno. The house, Mr Hugo, Berlin")[0].endswith(", Berlin") and ". The house, Mr " in pii.Replacer(b"k")("Mr Bruno. The house, Mr Hugo, Berlin")[0]
+
+
+def test_long_blocks_are_one_to_one():
+    given = [f"{a}{'x' * 130}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert len({pii.surrogate("secret", x, "", b"k") for x in given}) == len(given)
+
+
+def test_the_longest_phone_is_taken_whole():
+    new, found = pii.Replacer(b"k")("call +41 11 11 11 11 11 11 now")
+    assert [(k, o) for k, o, _ in found] == [("intl_phone", "+41 11 11 11 11 11 11")]
+
+
 def mixture_rows():
     return [(i, "word " * (1 + i % 7) + ("licence" if i % 5 == 0 else ""), None if i % 11 == 0 else ["en", "de", "fr"][i // 3 % 3], "big" if i % 3 else f"s{i % 4}") for i in range(600)]
 
