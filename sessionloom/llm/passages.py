@@ -2,9 +2,11 @@
 
 Tokens are the five-word shingles of a text. For each of several hash functions the Cartesian tree over the token hashes gives
 the compact windows: all subsequences whose smallest hash lies at one token, written as (left, centre, right). Two texts with
-equal signatures there share a window; for each signature every window is paired with the one before it in the order of
-documents, so a passage in n documents gives n - 1 pairs for each function. Pairs of documents whose windows agree for
-enough functions are verified on the shingles themselves.
+equal signatures there share a window. First every window of a signature is paired with the one before it in the order of
+documents, so a passage in n documents gives n - 1 pairs for each function; pairs of documents whose windows agree for
+enough functions are verified on the shingles themselves. A verified pair links its two windows, and a signature's windows fall into
+runs of linked ones. Where there is more than one run, every window is then compared with those of all other runs; what that
+finds is verified too. So two documents are left uncompared on a signature only if a row of verified passages joins them there.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from .common import stage, text_slices
 from .tokens import NOT_SPACE, Words, mix, shingles
 
 PLACE = 22
-BITS = 21  # places within a document fit into 21 bits each: 2 million shingles
+#: Signatures with more windows than this have their windows' surroundings compared before a pair becomes a row.
+SMALL = 4
 
 
 def compact_windows(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, left, centre, right of the compact windows of ``least`` tokens or more, level by level of the Cartesian trees.
 
-    Hashes are compared by all but their lowest PLACE bits; of equal smallest ones the leftmost is the centre. h may have
-    2**PLACE tokens at most.
+    Hashes are compared by all but their lowest PLACE bits (or as many as a longer h needs for its places); of equal smallest
+    ones the leftmost is the centre.
     """
     low, high, row = off[:-1].copy(), off[1:].copy(), np.arange(len(off) - 1)
     mask = np.uint64((1 << PLACE) - 1)
@@ -53,14 +56,44 @@ def _windows(batches, functions: int, least: int, k: int):
     for whole in batches:
         for part in text_slices(whole, most_bytes=1 << 19):
             h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
-            if np.diff(off).max(initial=0) >= 1 << BITS:
-                raise ValueError(f"a text of {np.diff(off).max()} shingles; places hold {BITS} bits")
+            if np.diff(off).max(initial=0) >= 1 << 21:
+                raise ValueError(f"a text of {np.diff(off).max()} shingles; places hold 21 bits")
             ids = part.column("id").to_numpy(zero_copy_only=False)
             for f in range(functions):
                 g = mix(h ^ mix(np.array([f + 1], np.uint64)))
                 row, left, centre, right = compact_windows(g, off, least)
-                place = (left << (2 * BITS)) | (centre << BITS) | right
-                yield pa.RecordBatch.from_arrays([pa.array(g[off[row] + centre].view(np.int64)), pa.array(np.full(len(row), f, np.int32)), pa.array(ids[row]), pa.array(place)], ["signature", "f", "id", "place"])
+                places = [pa.array(x.astype(np.int32)) for x in (left, centre, right)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[off[row] + centre].view(np.int64)), pa.array(np.full(len(row), f, np.int32)), pa.array(ids[row]), *places], ["signature", "f", "id", "low", "at", "high"])
+
+
+def around(h: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short hashes of the tokens within ``reach`` of each place, the same token counted up so that sets of them are multisets; and offsets."""
+    where = at[:, None] + np.arange(-reach, reach + 1)
+    inside = (where >= 0) & (where < len(h))
+    rows = np.sort(np.where(inside, h[np.clip(where, 0, len(h) - 1)] >> np.uint64(16), np.uint64(0xFFFFFFFFFFFFFFFF)), axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    step = np.arange(rows.shape[1])
+    nth = step - np.maximum.accumulate(np.where(new, step, 0), axis=1)
+    n = inside.sum(axis=1)
+    return (mix(rows * np.uint64(1024) + nth.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).view(np.int16)[step < n[:, None]], np.concatenate([[0], np.cumsum(n)])
+
+
+OPEN = "signature long, f int, id long, low int, at int, high int, run long"
+
+
+def _surroundings(batches, k: int, reach: int):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            h, _ = shingles(Words(batch.column("text").slice(i, 1), NOT_SPACE), k)
+            mine = batch.column("windows").slice(i, 1).flatten()
+            for start in range(0, len(mine), 4096):
+                part = mine.slice(start, 4096)
+                fields = dict(zip((f.name for f in part.type), part.flatten(), strict=True))
+                near, off = around(h, fields["at"].to_numpy(zero_copy_only=False).astype(np.int64), reach)
+                fields |= {"id": pa.array(np.full(len(part), batch.column("id")[i].as_py(), np.int64)), "near": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(near))}
+                names = ["signature", "f", "id", "low", "at", "high", "run", "near"]
+                yield pa.RecordBatch.from_arrays([fields[c] for c in names], names)
 
 
 def _tokens(batches, k: int):
@@ -107,24 +140,33 @@ def verified(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], words:
     return out
 
 
-def _verify(batches, words: int, k: int, percent: int, gap: int, agree: int):
-    mask = (1 << BITS) - 1
+def _seeds(batches, words: int, k: int, agree: int):
+    """Pairs (a, b) with the centres of those hits whose windows meet, over ``words`` words, windows of enough functions."""
     for batch in batches:
-        out = []
         hits = batch.column("hits")
         first = np.asarray(hits.offsets) - hits.offsets[0].as_py() if len(hits) else []
         fields = [v.to_numpy(zero_copy_only=False) for v in hits.flatten().flatten()]
-        ids_a, ids_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+        kept, seeds = [], []
         for i in range(batch.num_rows):
-            x, y = int(ids_a[i]), int(ids_b[i])
-            ta, tb = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("ta", "tb"))
-            f, pa_, pb_ = (v[first[i] : first[i + 1]] for v in fields)
+            f, low_a, at_a, high_a, low_b, at_b, high_b = (v[first[i] : first[i + 1]] for v in fields)
             meet = np.ones((len(f), len(f)), bool)  # windows that hold a common stretch long enough, in both texts
-            for place in (pa_, pb_):
-                left, right = place >> (2 * BITS), place & mask
+            for left, right in ((low_a, high_a), (low_b, high_b)):
                 meet &= np.minimum(right[:, None], right) - np.maximum(left[:, None], left) >= words - k + 1
             met = sum((meet[:, f == g].any(axis=1).astype(int) for g in np.unique(f)), np.zeros(len(f), int))
-            seeds = [(int(c1), int(c2)) for c1, c2, n in zip(pa_ >> BITS & mask, pb_ >> BITS & mask, met, strict=True) if n >= agree]
+            if (met >= agree).any():
+                kept.append(i)
+                seeds.append([{"at": int(c1), "at_b": int(c2)} for c1, c2, n in zip(at_a, at_b, met, strict=True) if n >= agree])
+        if kept:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept)) for c in ("a", "b")), pa.array(seeds, pa.list_(pa.struct([("at", pa.int32()), ("at_b", pa.int32())])))], ["a", "b", "seeds"])
+
+
+def _verify(batches, words: int, k: int, percent: int, gap: int):
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            x, y = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
+            ta, tb = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("ta", "tb"))
+            seeds = [(d["at"], d["at_b"]) for d in batch.column("seeds")[i].as_py()]
             out += [(x, *span[:2], y, *span[2:]) for span in verified(ta, tb, seeds, words, k, percent, gap)]
         if out:
             columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
@@ -140,22 +182,45 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     of the passages' ``k``-word shingles.
 
     Documents with equal texts form a class: the smallest id is compared with other texts, the other copies point to it with
-    their whole text. Texts are chained in the order of ids for each signature, so every document of a repeated passage is in
-    some row, yet pairs within a group are not all listed. Null and shorter texts, and rows with a null doc_id, have no rows.
+    their whole text. Documents that share a window are compared unless verified passages already join them there, so pairs within
+    a group of equal passages are not all listed. For signatures of more than SMALL windows a pair is verified only if ``percent`` of a
+    shortest passage's shingles are shared around the windows' centres (a passage much longer has other windows if it is thin at one). Null and shorter texts, and rows with a null doc_id, have no rows.
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of over two million words is an error.
     """
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("t"), F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long").alias("n")).where(F.col("n") >= words)
     classes = stage(keyed.groupBy("t").agg(F.min("doc_id").alias("id")), "cw-classes")
     reps = docs.withColumn("t", F.sha2("text", 256)).join(classes.hint("merge"), "t").where("doc_id = id").dropDuplicates(["id"]).select("id", "text")
-    windows = reps.mapInArrow(partial(_windows, functions=functions, least=words - k + 1, k=k), "signature long, f int, id long, place long")
-    order = Window.partitionBy("signature", "f").orderBy("id", "place")
-    before = windows.select("f", F.col("id").alias("a"), F.col("place").alias("pa"), F.lag("id").over(order).alias("b"), F.lag("place").over(order).alias("pb"))
-    pairs = before.where("b is not null and a <> b").groupBy("a", "b").agg(F.collect_list(F.struct("f", "pa", "pb")).alias("hits")).where(F.size(F.array_distinct(F.col("hits.f"))) >= agree)
-    pairs = stage(pairs, "cw-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    tokens = stage(docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(partial(_tokens, k=k), "id long, tokens binary"), "cw-tokens")
-    ready = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
-    near = ready.mapInArrow(partial(_verify, words=words, k=k, percent=percent, gap=gap, agree=agree), SCHEMA)
+    least = words - k + 1
+    windows = reps.mapInArrow(partial(_windows, functions=functions, least=least, k=k), "signature long, f int, id long, low int, at int, high int")
+    group = Window.partitionBy("signature", "f")
+    order = group.orderBy("id", "at")
+    held = windows.withColumns({"n": F.count(F.lit(1)).over(group), "_first": F.min("id").over(group), "_last": F.max("id").over(group)}).where("_first <> _last").drop("_first", "_last")
+    chain = stage(held.withColumns({f"{c}_b": F.lag(c).over(order) for c in ("id", "low", "at", "high")}), "cw-chain")
+
+    def compared(met: DataFrame, name: str) -> DataFrame:
+        """Verified passages of the pairs (f, id, low, at, high and the same with _b) that enough functions met."""
+        hit = F.struct("f", "low", "at", "high", "low_b", "at_b", "high_b")
+        pairs = met.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b")).agg(F.collect_list(hit).alias("hits")).where(F.size(F.array_distinct(F.col("hits.f"))) >= agree)
+        pairs = stage(pairs.mapInArrow(partial(_seeds, words=words, k=k, agree=agree), "a long, b long, seeds array<struct<at:int,at_b:int>>"), f"{name}-pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        tokens = stage(docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(partial(_tokens, k=k), "id long, tokens binary"), f"{name}-tokens")
+        ready = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
+        return stage(ready.mapInArrow(partial(_verify, words=words, k=k, percent=percent, gap=gap), SCHEMA), f"{name}-near")
+
+    near = compared(chain.where("id <> id_b"), "cw-first")
+    spans = near.groupBy(F.col("doc_id").alias("id"), F.col("other_doc_id").alias("id_b")).agg(F.collect_list(F.struct("start_word", "end_word", "other_start_word", "other_end_word")).alias("spans"))
+    inside = F.expr(f"exists(spans, s -> at >= s.start_word and at <= s.end_word - {k} and at_b >= s.other_start_word and at_b <= s.other_end_word - {k})")
+    runs = chain.join(spans, ["id", "id_b"], "left").withColumn("new", F.when(F.coalesce(inside, F.lit(False)), 0).otherwise(1))
+    runs = runs.withColumns({"run": F.sum("new").over(order), "runs": F.sum("new").over(group)}).where("runs > 1").select("signature", "f", "id", "low", "at", "high", "run", "n")
+    runs = stage(runs, "cw-runs")
+    asked = runs.where(F.col("n") > SMALL).groupBy("id").agg(F.collect_list(F.struct("signature", "f", "low", "at", "high", "run")).alias("windows"))
+    texts = docs.withColumnRenamed("doc_id", "id").join(asked.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    large = texts.join(asked.hint("merge"), "id").mapInArrow(partial(_surroundings, k=k, reach=least - 1), f"{OPEN}, near array<smallint>")
+    each = stage(runs.where(F.col("n") <= SMALL).drop("n").withColumn("near", F.lit(None).cast("array<smallint>")).unionByName(large), "cw-open")
+    other = each.select("signature", "f", *[F.col(c).alias(f"{c}_b") for c in ("id", "low", "at", "high", "run", "near")])
+    alike = F.col("near").isNull() | (F.size(F.array_intersect("near", "near_b")) * 100 >= percent * least)
+    met = each.join(other.hint("merge"), ["signature", "f"]).where((F.col("id") > F.col("id_b")) & (F.col("run") != F.col("run_b")) & alike)
+    near = near.unionByName(compared(met, "cw-second")).dropDuplicates(["doc_id", "start_word", "end_word", "other_doc_id", "other_start_word", "other_end_word"])
     copies = keyed.join(classes.hint("merge"), "t").where("doc_id <> id").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("other_start_word"), F.col("n").alias("other_end_word"), F.lit(1.0).alias("similarity"))
     return near.unionByName(copies)

@@ -51,6 +51,43 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def holders_met(got, holders):
+    """Whether the rows join all holders."""
+    of = {x: x for x in holders}
+    for r in got:
+        a, b = of.get(r.doc_id), of.get(r.other_doc_id)
+        if a is not None and b is not None and a != b:
+            of = {x: b if v == a else v for x, v in of.items()}
+    return len(set(of.values())) == 1
+
+
+def test_partial_quotes_do_not_hide_a_passage(spark):
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], []
+    for case in range(12):
+        base, passage = case * 1000, fresh(60)
+        want.append({base, base + 999})
+        rows += [(base, f"{fresh(60)} {passage} {fresh(60)}"), (base + 999, f"{fresh(60)} {passage} {fresh(60)}")]
+        for j in range(40 if case % 2 else 8):  # quotes of 20 words from all over the passage
+            start = rng.randrange(41)
+            rows.append((base + 1 + j, f"{fresh(60)} {' '.join(passage.split()[start : start + 20])} {fresh(60)}"))
+    line = fresh(20)
+    rows += [(50_000 + i, f"{fresh(60)} {line} {fresh(60)}") for i in range(60)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(holders_met(got, w) for w in want), [holders_met(got, w) for w in want]
+    assert {x for r in got for x in (r.doc_id, r.other_doc_id)} == set().union(*want)
+
+
+def test_repeated_words_beside_a_common_line(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    cycle = "one two three four five six "
+    rows = [(i, f"{fresh(60)} {cycle * (12 if i in (0, 39) else 2)} {fresh(60)}") for i in range(40)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert holders_met(got, {0, 39})
+
+
 def test_shingles_of_short_rows():
     h, off = shingles(Words(pa.array(["a b c d", "a b", None, "", "A B", "b a"]), NOT_SPACE), 3)
     assert list(np.diff(off)) == [2, 1, 0, 0, 1, 1] and h[2] == h[3] != h[4]
