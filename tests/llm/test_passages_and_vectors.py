@@ -88,6 +88,17 @@ def test_repeated_words_beside_a_common_line(spark):
     assert holders_met(got, {0, 39})
 
 
+def test_texts_of_any_length(spark):
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 10**6, 60))
+    long = " ".join(map(str, rng.integers(0, 10**5, (1 << 21) + 10).tolist()))
+    got = passages.repeated_passages(spark.createDataFrame([(1, f"{long} {passage}"), (2, f"a b {passage} c")], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.other_doc_id, r.other_start_word, r.other_end_word) for r in got] == [(2, 2, 62, 1, (1 << 21) + 10, (1 << 21) + 70)]
+    h = rng.integers(0, 1 << 63, (1 << 22) + 5).astype(np.uint64)
+    _, left, centre, right = passages.compact_windows(h, np.array([0, len(h)]), 1 << 20)
+    assert sorted(zip(left, centre, right)) == brute_windows(h, 1 << 20)
+
+
 def test_shingles_of_short_rows():
     h, off = shingles(Words(pa.array(["a b c d", "a b", None, "", "A B", "b a"]), NOT_SPACE), 3)
     assert list(np.diff(off)) == [2, 1, 0, 0, 1, 1] and h[2] == h[3] != h[4]
