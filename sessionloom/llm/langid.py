@@ -116,23 +116,22 @@ def _predict(batches, model: Model, keep: tuple[str, ...]):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(name, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
 
-def learn(examples: DataFrame, most_rows: int = 6_000, most_languages: int = 200) -> Model:
+def learn(examples: DataFrame, most_rows: int = 6_000) -> Model:
     """Fit a model to (text, lang) rows: the ``most_rows`` with the smallest hashes of the text, so the sample is bounded and repeatable.
 
-    Rows with a null text or lang teach nothing; of equal texts in one language one is taken, so copies do not fill the sample.
+    Every language of these rows is in the model. Rows with a null text or lang teach nothing; of equal texts in one language one is taken, so copies do not fill the sample.
     """
     rows = examples.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     chosen = rows.groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n")).orderBy("h", "lang").limit(most_rows)  # hashes only: no text is moved
     got = rows.join(F.broadcast(chosen.select("h", "lang")), ["h", "lang"]).groupBy("h", "lang").agg(F.first("text").alias("text"))
     sample = got.orderBy("h", "lang").select("lang", "text").toArrow()
     langs = sample.column("lang").to_pylist()
-    languages = sorted(set(langs))[:most_languages]
+    languages = sorted(set(langs))
     where = {x: i for i, x in enumerate(languages)}
-    inside = np.array([x in where for x in langs], bool)
-    texts = sample.column("text").combine_chunks().filter(pa.array(inside)) if len(langs) else pa.array([], pa.string())
+    texts = sample.column("text").combine_chunks() if len(langs) else pa.array([], pa.string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    return Model.fit(texts, np.array([where[x] for x in langs if x in where], int), languages)
+    return Model.fit(texts, np.array([where[x] for x in langs], int), languages)
 
 
 def predict(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

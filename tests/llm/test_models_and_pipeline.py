@@ -99,3 +99,11 @@ def test_pipeline_stages_keep_their_contracts(spark, tmp_path):
 def test_stages_take_empty_tables(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q " * 3, f"l{i:03d}") for i in range(230)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == sorted(x for _, x in rows)
+    got = langid.predict(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred == rows[r.doc_id][1] for r in got)
