@@ -531,7 +531,7 @@ def v5_concept_cosine(spark, sf):
 
 @register()
 def r4_cascade_with_concepts(spark, sf):
-    """R4 with s3 over the documents' index (A15's input); checked in tests."""
+    """R4 with s3 over the documents' index (A15's input), the best 1000 documents a query; checked in tests by brute force."""
     q = queries_of(search_log(spark, sf))
     index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text", asked=q)
-    return sessions.cascade(q, vectors.concept_vectors(vectors.retrieve(q, index, 100))).select("search_id", "session_id", "stage", "esa_cos")
+    return sessions.cascade(q, vectors.concept_vectors(vectors.retrieve(q, index))).select("search_id", "session_id", "stage", "esa_cos")
