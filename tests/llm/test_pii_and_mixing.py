@@ -116,6 +116,43 @@ def test_expected_tokens_equal_the_budget(spark, fraction):
     assert t.p.between(0, 1).all()
 
 
+def skewed(spark):
+    """Documents of 10 words with small sources, languages and topics of their own, as a table that mix takes."""
+    rows, n = [], 0
+    for source, a in (("web", 60), ("books", 6), ("wiki", 2)):
+        for lang, b in (("en", 8), ("de", 2), ("fr", 1)):
+            for end, c in (("plain", 6), ("licence", 1), ("a@b", 2)):
+                for _ in range(a * b * c // 4 + 1):
+                    n += 1
+                    rows.append((n, "word " * 9 + end, lang, source))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"web": 1, "books": 1, "wiki": 1}, "topic": {"prose": 5, "legal": 3, "contact": 2}}, {"lang": {"en": 1, "fr": 1}}])
+def test_sample_meets_the_targets(spark, targets):
+    df = skewed(spark)
+    p = mixing.bounded(mixing.rake(mixing.cells(df), targets=targets), targets=targets)
+    assert p.where("p < 0 or p > 1").count() == 0
+    for r in mixing.gaps(p).collect():
+        assert abs(r.expected - r.target) <= 0.02 * r.target + 1e-9, r
+        if targets and r.side in targets:
+            assert abs(r.target - targets[r.side].get(r.value, 0) / sum(targets[r.side].values())) < 1e-9
+    cells = {(r.source, r.lang, r.topic): r for r in p.collect()}
+    drawn = mixing.mix(df, targets=targets).groupBy("source", "lang", "_topic").sum("_tokens").collect()
+    assert len(drawn) > 9
+    for side, at in (("source", 0), ("lang", 1), ("topic", 2)):
+        total = sum(r[3] for r in drawn)
+        for value in {k[at] for k in cells}:
+            want = next(r[f"_{side}"] for k, r in cells.items() if k[at] == value)
+            assert abs(sum(r[3] for r in drawn if r[at] == value) / total - want) < 0.08, (side, value)
+
+
+def test_targets_are_checked(spark):
+    for bad in ({"colour": {"a": 1}}, {"lang": {"en": 0}}, {"lang": {"en": -1, "de": 2}}):
+        with pytest.raises(ValueError):
+            mixing.mix(skewed(spark), targets=bad)
+
+
 def test_mix_keeps_whole_rows(spark):
     df = spark.createDataFrame([*mixture_rows(), (None, None, None, None), (7, "", "en", "s1"), (7, "", "en", "s1")], "doc_id long, text string, lang string, source string").selectExpr("*", "1 as w", "2 as tokens", "3 as topic")
     out = mixing.mix(df)
