@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,6 +28,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, upon which Spark removes the shuffle files of steps that are finished and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage_observed(df: DataFrame, name: str, **what) -> tuple[DataFrame, dict]:
     """:func:`stage`, with aggregates taken while the rows are written."""
     seen = Observation()

@@ -1,12 +1,17 @@
 """Repeated passages by compact windows.
 
 Tokens are the five-word shingles of a text. For each of several hash functions the Cartesian tree over the token hashes gives
-the compact windows: all subsequences whose smallest hash lies at one token, written as (left, centre, right). Two texts with
-equal signatures there share a window. First every window of a signature is paired with the one before it in the order of
-documents, so a passage in n documents gives n - 1 pairs for each function; pairs of documents whose windows agree for
-enough functions are verified on the shingles themselves. A verified pair links its two windows, and a signature's windows fall into
-runs of linked ones. Where there is more than one run, every window is then compared with those of all other runs; what that
-finds is verified too. So two documents are left uncompared on a signature only if a row of verified passages joins them there.
+the compact windows: all subsequences whose smallest hash lies at one token, written as (left, centre, right). Texts with
+equal signatures (the centre's hash) may share a passage around their centres.
+
+1. Signatures that stand in one text only are found by an aggregation and dropped by a join, so a frequent one is split like any skewed join.
+2. Windows of a signature with equal surroundings (every passage of the least length through the centre lies in them) are one
+   variant; all its texts hold that stretch word for word. Only variants are compared.
+3. Variants of a signature are compared in blocks of bounded size, each with all those it is not yet linked to. If a signature has more
+   than one block, the blocks' components are held against the largest one, and only what stays apart from it is
+   compared with all other rows.
+
+Every comparison is a verification on the shingles: a stretch through both centres, long and alike enough.
 """
 
 from __future__ import annotations
@@ -15,15 +20,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
-from .tokens import NOT_SPACE, Words, mix, shingles
+from .common import release, stage, text_slices
+from .tokens import BASE, INVERSE, NOT_SPACE, Words, _powers, mix, shingles
 
 PLACE = 22
-#: Signatures with more windows than this have their windows' surroundings compared before a pair becomes a row.
-SMALL = 4
+#: Tokens left and right of a centre at which its text and another one are still compared for words in other places (insertions).
+SHIFT = 8
+CELLS = 1024
 
 
 def compact_windows(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,120 +58,277 @@ def compact_windows(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndar
     return row, low - base, centre - base, high - base
 
 
-def _windows(batches, functions: int, least: int, k: int):
+def windows_of(h: np.ndarray, off: np.ndarray, functions: int, least: int):
+    """signature, variant, row, at, lo, hi of all windows, one array of each for every hash function.
+
+    at + lo to at + hi is the stretch within least - 1 tokens of the centre, inside the window; the variant is its hash.
+    """
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(BASE, len(h)), out=total[1:])
+    back = _powers(INVERSE, len(h) + 1)
+    for f in range(functions):
+        g = mix(h ^ mix(np.array([f + 1], np.uint64)))
+        row, low, at, high = compact_windows(g, off, least)
+        base = off[row]
+        lo, hi = np.maximum(low - at, 1 - least), np.minimum(high - at, least)
+        first, last = base + at + lo, base + at + hi
+        variant = mix((total[last] - total[first]) * back[first] + ((hi - lo) * 256 - lo).astype(np.uint64))
+        yield g[base + at].view(np.int64), variant.view(np.int64), row, at, lo, hi
+
+
+def _windows(batches, functions: int, least: int, k: int, places: bool):
+    """Windows of every text that this task has not met before."""
+    met: set[int] = set()
     for whole in batches:
-        for part in text_slices(whole, most_bytes=1 << 19):
+        new = [not (t in met or met.add(t)) for t in whole.column("t").to_pylist()]
+        for part in text_slices(whole.filter(pa.array(new, pa.bool_())), most_bytes=1 << 19):
             h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            for f in range(functions):
-                g = mix(h ^ mix(np.array([f + 1], np.uint64)))
-                row, left, centre, right = compact_windows(g, off, least)
-                places = [pa.array(x.astype(np.int32)) for x in (left, centre, right)]
-                yield pa.RecordBatch.from_arrays([pa.array(g[off[row] + centre].view(np.int64)), pa.array(np.full(len(row), f, np.int32)), pa.array(ids[row]), *places], ["signature", "f", "id", "low", "at", "high"])
-
-
-def around(h: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Short hashes of the tokens within ``reach`` of each place, the same token counted up so that sets of them are multisets; and offsets."""
-    where = at[:, None] + np.arange(-reach, reach + 1)
-    inside = (where >= 0) & (where < len(h))
-    rows = np.sort(np.where(inside, h[np.clip(where, 0, len(h) - 1)] >> np.uint64(16), np.uint64(0xFFFFFFFFFFFFFFFF)), axis=1)
-    new = np.ones(rows.shape, bool)
-    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-    step = np.arange(rows.shape[1])
-    nth = step - np.maximum.accumulate(np.where(new, step, 0), axis=1)
-    n = inside.sum(axis=1)
-    return (mix(rows * np.uint64(1024) + nth.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16).view(np.int16)[step < n[:, None]], np.concatenate([[0], np.cumsum(n)])
-
-
-OPEN = "signature long, f int, id long, low int, at int, high int, run long"
-
-
-def _surroundings(batches, k: int, reach: int):
+            t = part.column("t").to_numpy(zero_copy_only=False)
+            for signature, variant, row, at, lo, hi in windows_of(h, off, functions, least):
+                if places:
+                    columns = [signature, variant, t[row], at.astype(np.int32), lo.astype(np.int8), hi.astype(np.int8)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "variant", "t", "at", "lo", "hi"])
+                else:
+                    columns = [signature, (variant >> 32).astype(np.int32), (t[row] >> 32).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "v", "t"])
+
+
+def _contents(batches, k: int):
+    """The tokens around each asked centre of a text."""
     for batch in batches:
         for i in range(batch.num_rows):
             h, _ = shingles(Words(batch.column("text").slice(i, 1), NOT_SPACE), k)
-            mine = batch.column("windows").slice(i, 1).flatten()
-            for start in range(0, len(mine), 4096):
-                part = mine.slice(start, 4096)
+            short = (h >> np.uint64(32)).astype(np.uint32)
+            asked = batch.column("asked").slice(i, 1).flatten()
+            for start in range(0, len(asked), 8192):
+                part = asked.slice(start, 8192)
                 fields = dict(zip((f.name for f in part.type), part.flatten(), strict=True))
-                near, off = around(h, fields["at"].to_numpy(zero_copy_only=False).astype(np.int64), reach)
-                fields |= {"id": pa.array(np.full(len(part), batch.column("id")[i].as_py(), np.int64)), "near": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(near))}
-                names = ["signature", "f", "id", "low", "at", "high", "run", "near"]
-                yield pa.RecordBatch.from_arrays([fields[c] for c in names], names)
+                at, lo, hi = (fields[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "lo", "hi"))
+                fields |= {"t": pa.array(np.full(len(part), batch.column("t")[i].as_py(), np.int64)), "tokens": pa.array([short[x:y].tobytes() for x, y in zip(at + lo, at + hi, strict=True)], pa.binary())}
+                yield pa.RecordBatch.from_arrays([fields[c] for c in CONTENT_NAMES], CONTENT_NAMES)
+
+
+CONTENT_NAMES = ["signature", "block", "blocks", "variant", "t", "at", "lo", "hi", "tokens"]
+CONTENTS = "signature long, block int, blocks int, variant long, t long, at int, lo byte, hi byte, tokens binary"
+
+
+class Rows:
+    """Variants as rows of 2 * least - 1 tokens with the centre in the middle; which places are there; and a table of CELLS by tokens' low bits."""
+
+    def __init__(self, lo: np.ndarray, tokens: list[bytes], least: int):
+        n, width = len(tokens), 2 * least - 1
+        flat = np.frombuffer(b"".join(tokens), np.uint32)
+        size = np.array([len(x) // 4 for x in tokens], np.int64)
+        row = np.repeat(np.arange(n), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo.astype(np.int64) + least - 1, size)
+        self.least, self.tokens, self.there = least, np.zeros((n, width), np.uint32), np.zeros((n, width), bool)
+        self.tokens[row, place], self.there[row, place] = flat, True
+        self.cell = (self.tokens % np.uint32(CELLS)).astype(np.int64)
+        self.table = np.zeros((n, CELLS), bool)
+        self.table[row, self.cell[row, place]] = True
+
+    def may_hit(self, i: np.ndarray, other: Rows, j: np.ndarray) -> np.ndarray:
+        """The most places of the rows i whose tokens can stand in the other's rows j."""
+        return (other.table.reshape(-1)[j[:, None] * CELLS + self.cell[i]] & self.there[i]).sum(axis=1)
+
+
+def _stretch(a: np.ndarray, b: np.ndarray, least: int, loss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of values per place (1: shared, -loss: not, very low: not there) of two texts: whether a stretch of ``least`` places or
+    more through the centre has sums of at least 0 in both, and the longest one's first and last place."""
+    c, n = least - 1, len(a)
+    best, first, last = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    left = [np.cumsum(x[:, c::-1], axis=1) for x in (a, b)]  # sums of places c - i to c
+    right = [np.cumsum(x[:, c:], axis=1) - x[:, c : c + 1] for x in (a, b)]
+    for i in range(c + 1):
+        ok = (left[0][:, i : i + 1] + right[0] >= -1e-6) & (left[1][:, i : i + 1] + right[1] >= -1e-6)
+        far = np.where(ok.any(axis=1), c - np.argmax(ok[:, ::-1], axis=1), -least)
+        better = (i + far > best) & (i + far + 1 >= least)
+        best[better], first[better], last[better] = (i + far)[better], c - i, c + far[better]
+    return best >= 0, first, last
+
+
+def meet(left: Rows, i: np.ndarray, right: Rows, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of rows i of left and j of right: similarity (0: no passage), the stretch's first and last place, which are the same in both rows.
+
+    A run of ``least`` equal tokens through the centre is a passage of similarity 1. Else the longest stretch through the centre is
+    taken in which the tokens that stand in the other text (up to SHIFT places away) are enough for ``percent``, and its
+    similarity is counted on the two sets.
+    """
+    least = left.least
+    c, n = least - 1, len(i)
+    similarity, first, last = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return similarity, first, last
+    same = (left.tokens[i] == right.tokens[j]) & left.there[i] & right.there[j]
+    ends = lambda s: np.where(s.all(axis=1), s.shape[1], np.argmin(s, axis=1))
+    before, after = ends(same[:, c::-1]), ends(same[:, c:])
+    run = before + after - 1 >= least
+    similarity[run], first[run], last[run] = 1.0, c - before[run] + 1, c + after[run] - 1
+    need = percent * 2 * least / (100 + percent) - 1e-6
+    left_over = np.flatnonzero(~run)
+    left_over = left_over[left.may_hit(i[left_over], right, j[left_over]) >= need]
+    left_over = left_over[right.may_hit(j[left_over], left, i[left_over]) >= need]
+    if not len(left_over):
+        return similarity, first, last
+    in_x, in_y = left.there[i[left_over]], right.there[j[left_over]]
+    x, y = left.tokens[i[left_over]], right.tokens[j[left_over]]
+    hit_x, hit_y = same[left_over], same[left_over].copy()
+    for d in range(1, SHIFT + 1):
+        e = (x[:, d:] == y[:, :-d]) & in_x[:, d:] & in_y[:, :-d]
+        hit_x[:, d:] |= e
+        hit_y[:, :-d] |= e
+        e = (x[:, :-d] == y[:, d:]) & in_x[:, :-d] & in_y[:, d:]
+        hit_x[:, :-d] |= e
+        hit_y[:, d:] |= e
+    some = np.flatnonzero((hit_x.sum(axis=1) >= need) & (hit_y.sum(axis=1) >= need))
+    loss = (2 * percent) / (100 - percent) if percent < 100 else 1e6
+    values = lambda hit, there: np.where(there, np.where(hit, 1.0, -loss), -1e9)
+    ok, p, q = _stretch(values(hit_x[some], in_x[some]), values(hit_y[some], in_y[some]), least, loss)
+    for r, a, b in zip(some[ok], p[ok], q[ok], strict=True):
+        core = np.flatnonzero(hit_x[r, a : b + 1] & hit_y[r, a : b + 1]) + a  # ends that the other text lacks go, as far as the length allows
+        b = max(min(b, core[-1]), a + least - 1)
+        a = min(max(a, core[0]), b - least + 1)
+        one, two = set(x[r, a : b + 1].tolist()), set(y[r, a : b + 1].tolist())
+        both = len(one & two)
+        if 100 * both >= percent * (len(one) + len(two) - both):
+            similarity[left_over[r]], first[left_over[r]], last[left_over[r]] = both / (len(one) + len(two) - both), a, b
+    return similarity, first, last
+
+
+def spanning(group: np.ndarray, rows: Rows, percent: int, most: int = 10_000):
+    """Links between the rows of each group (rows sorted by group): every row meets all later ones it is not yet linked to.
+
+    Returns the components' first rows and (i, j, similarity, first place, last place) of the links.
+    """
+    n = len(group)
+    label = np.arange(n)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, n))
+    links = []
+    for r in range(int(size.max(initial=0)) - 1):
+        live = size > r + 1
+        count = size[live] - r - 1
+        i = np.repeat(begin[live] + r, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        to = np.arange(n)
+        for s in range(0, len(i), most):
+            a, b = i[s : s + most], j[s : s + most]
+            similarity, first, last = meet(rows, a, rows, b, percent)
+            yes = similarity > 0
+            links.append((a[yes], b[yes], similarity[yes], first[yes], last[yes]))
+            to[label[b[yes]]] = label[a[yes]]
+        label = to[label]
+    root = np.arange(n)
+    np.minimum.at(root, label, np.arange(n))  # the smallest row of each label
+    empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
+    return root[label], [np.concatenate(c) for c in zip(*links, strict=True)] if links else empty
+
+
+LINK_NAMES = ["t", "start", "end", "other_t", "other_start", "other_end", "similarity", "signature", "variant", "root", "block"]
+LINKS = "t long, start int, end int, other_t long, other_start int, other_end int, similarity double, signature long, variant long, root long, block int"
+
+
+def _links(t, at, i, j, similarity, first, last, least: int, other_t=None, other_at=None) -> list[pa.Array]:
+    low, high = first - least + 1, last - least + 2
+    other_t, other_at = (t, at) if other_t is None else (other_t, other_at)
+    return [pa.array(c) for c in (t[i], (at[i] + low).astype(np.int32), (at[i] + high).astype(np.int32), other_t[j], (other_at[j] + low).astype(np.int32), (other_at[j] + high).astype(np.int32), similarity)]
+
+
+def _numbers(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
+def _link(batches, least: int, percent: int, rows: int = 4096):
+    """Rows come sorted by signature and block: links within the blocks, and the component of each row of a signature with more blocks."""
+
+    def done(table: pa.Table):
+        b = table.combine_chunks()
+        signature, block, blocks, variant, t, at, lo = _numbers(b, "signature", "block", "blocks", "variant", "t", "at", "lo")
+        group = np.cumsum(np.append(False, (signature[1:] != signature[:-1]) | (block[1:] != block[:-1])))
+        root, links = spanning(group, Rows(lo, b.column("tokens").to_pylist(), least), percent)
+        found = _links(t, at, *links, least)
+        yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(found[0]), pa.int64()) for _ in range(3)), pa.nulls(len(found[0]), pa.int32())], LINK_NAMES)
+        many = np.flatnonzero(blocks > 1)
+        blank = [pa.nulls(len(many), f.type) for f in found]
+        yield pa.RecordBatch.from_arrays([*blank, *(pa.array(c[many]) for c in (signature, variant, variant[root])), pa.array(block[many].astype(np.int32))], LINK_NAMES)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        signature, block = _numbers(table, "signature", "block")
+        new = np.flatnonzero((signature[1:] != signature[:-1]) | (block[1:] != block[:-1]))
+        if len(new):  # all but the last block are whole
+            yield from done(table.slice(0, new[-1] + 1))
+            held = table.slice(new[-1] + 1).to_batches()
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
+def _pairs(batches, least: int, percent: int):
+    """Links of the pairs in the rows: columns t, at, lo, tokens and the same with other_."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            b = whole.slice(start, 4096)
+            t, at, lo, u, bt, blo = _numbers(b, "t", "at", "lo", "other_t", "other_at", "other_lo")
+            each = np.arange(b.num_rows)
+            similarity, first, last = meet(Rows(lo, b.column("tokens").to_pylist(), least), each, Rows(blo, b.column("other_tokens").to_pylist(), least), each, percent)
+            yes = np.flatnonzero(similarity > 0)
+            yield pa.RecordBatch.from_arrays([*_links(t, at, yes, yes, similarity[yes], first[yes], last[yes], least, u, bt), *(b.column(c).take(pa.array(yes)) for c in ("signature", "variant", "root", "block"))], LINK_NAMES)
 
 
-def _tokens(batches, k: int):
-    for whole in batches:
-        for part in text_slices(whole):
-            h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([h[i:j].tobytes() for i, j in zip(off, off[1:], strict=False)], pa.binary())], ["id", "tokens"])
-
-
-def _grown(shared: np.ndarray, at: int, gap: int) -> tuple[int, int]:
-    """The stretch of shared tokens around ``at`` whose holes are no longer than ``gap``: first and last place."""
-    places = np.flatnonzero(shared)
-    here = int(np.searchsorted(places, at))
-    if here == len(places) or places[here] != at:
-        return at, at - 1
-    breaks = np.flatnonzero(np.diff(places) > gap + 1)
-    cut = int(np.searchsorted(breaks, here))
-    first = places[breaks[cut - 1] + 1] if cut else places[0]
-    last = places[breaks[cut]] if cut < len(breaks) else places[-1]
-    return int(first), int(last)
-
-
-def verified(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], words: int, k: int, percent: int, gap: int) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start and end word in a, in b, similarity) around the seeds (centres in a, b), by the shingles themselves."""
-    in_a, in_b = np.isin(a, b), np.isin(b, a)
-    out: list[tuple[int, int, int, int, float]] = []
-    tried: set[tuple[int, int, int, int]] = set()
-    for i, j in sorted(set(seeds)):
-        if any(x <= i <= y - k and u <= j <= v - k for x, y, u, v, _ in out):
-            continue
-        best = None
-        for hole in (gap, gap // 2, 0):  # the longest stretch first; without holes it is a run of shared tokens
-            (x, y), (u, v) = _grown(in_a, i, hole), _grown(in_b, j, hole)
-            near = (max(x, i - (j - u)), min(y, i + (v - j)), max(u, j - (i - x)), min(v, j + (y - i)))
-            for p, q, r, s in ((x, y, u, v), near):
-                if best is None and (p, q, r, s) not in tried and min(q - p, s - r) + k >= words:
-                    tried.add((p, q, r, s))
-                    one, two = np.unique(a[p : q + 1]), np.unique(b[r : s + 1])
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    if 100 * both >= percent * (len(one) + len(two) - both):
-                        best = (p, q + k, r, s + k, both / (len(one) + len(two) - both))
-        if best:
-            out.append(best)
-    return out
-
-
-def _seeds(batches, words: int, k: int, agree: int):
-    """Pairs (a, b) with the centres of those hits whose windows meet, over ``words`` words, windows of enough functions."""
+def _tiles(batches, least: int, percent: int):
+    """Links between the strays and the members of a tile that have different components."""
     for batch in batches:
-        hits = batch.column("hits")
-        first = np.asarray(hits.offsets) - hits.offsets[0].as_py() if len(hits) else []
-        fields = [v.to_numpy(zero_copy_only=False) for v in hits.flatten().flatten()]
-        kept, seeds = [], []
         for i in range(batch.num_rows):
-            f, low_a, at_a, high_a, low_b, at_b, high_b = (v[first[i] : first[i + 1]] for v in fields)
-            meet = np.ones((len(f), len(f)), bool)  # windows that hold a common stretch long enough, in both texts
-            for left, right in ((low_a, high_a), (low_b, high_b)):
-                meet &= np.minimum(right[:, None], right) - np.maximum(left[:, None], left) >= words - k + 1
-            met = sum((meet[:, f == g].any(axis=1).astype(int) for g in np.unique(f)), np.zeros(len(f), int))
-            if (met >= agree).any():
-                kept.append(i)
-                seeds.append([{"at": int(c1), "at_b": int(c2)} for c1, c2, n in zip(at_a, at_b, met, strict=True) if n >= agree])
-        if kept:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept)) for c in ("a", "b")), pa.array(seeds, pa.list_(pa.struct([("at", pa.int32()), ("at_b", pa.int32())])))], ["a", "b", "seeds"])
-
-
-def _verify(batches, words: int, k: int, percent: int, gap: int):
+            sides = []
+            for name in ("strays", "members"):
+                rows = batch.column(name).slice(i, 1).flatten()
+                f = dict(zip((x.name for x in rows.type), rows.flatten(), strict=True))
+                sides.append([f[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "at", "lo", "component", "variant")] + [f["tokens"].to_pylist()])
+            (t, at, lo, c, v, tokens), (u, bt, blo, d, w, other) = sides
+            left, right, hub = Rows(lo, tokens, least), Rows(blo, other, least), batch.column("hub")[i].as_py()
+            p, q = np.nonzero((c[:, None] != d) & ((d == hub) | (v[:, None] < w)))
+            for start in range(0, len(p), 10_000):
+                a, b = p[start : start + 10_000], q[start : start + 10_000]
+                similarity, first, last = meet(left, a, right, b, percent)
+                yes = similarity > 0
+                found = _links(t, at, a[yes], b[yes], similarity[yes], first[yes], last[yes], least, u, bt)
+                yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(found[0]), pa.int64()) for _ in range(3)), pa.nulls(len(found[0]), pa.int32())], LINK_NAMES)
+
+
+def _merged(batches, k: int, slack: int):
+    """One row for each passage of a pair: its stretches that overlap in both texts, joined. Word-for-word ones come first; another one
+    that reaches up to ``slack`` tokens beyond them (its unshared ends, as a rule) does not move their ends."""
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
-            x, y = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
-            ta, tb = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("ta", "tb"))
-            seeds = [(d["at"], d["at_b"]) for d in batch.column("seeds")[i].as_py()]
-            out += [(x, *span[:2], y, *span[2:]) for span in verified(ta, tb, seeds, words, k, percent, gap)]
+            spans = batch.column("spans").slice(i, 1).flatten()
+            a, b = batch.column("doc_id")[i].as_py(), batch.column("other_doc_id")[i].as_py()
+            rows = sorted(zip(*(c.to_pylist() for c in spans.flatten()), strict=True), key=lambda r: (r[4] < 1, r))
+            open_: list[list] = []
+            for start, end, other_start, other_end, similarity in rows:
+                for p in reversed(open_):
+                    if start <= p[1] and end >= p[0] and other_start <= p[3] and other_end >= p[2]:
+                        more = 0 if similarity == 1 else slack
+                        low, high = min(p[0] - start, p[2] - other_start) > more, min(end - p[1], other_end - p[3]) > more
+                        if more and not (low or high):
+                            break
+                        if low or not more:
+                            p[0], p[2] = min(p[0], start), min(p[2], other_start)
+                        if high or not more:
+                            p[1], p[3] = max(p[1], end), max(p[3], other_end)
+                        p[4] = min(p[4], similarity)
+                        break
+                else:
+                    open_.append([start, end, other_start, other_end, similarity])
+            out += [(a, p[0], p[1] + k - 1, b, p[2], p[3] + k - 1, p[4]) for p in open_]
         if out:
             columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start_word", "end_word", "other_doc_id", "other_start_word", "other_end_word", "similarity"])
@@ -174,51 +337,77 @@ def _verify(batches, words: int, k: int, percent: int, gap: int):
 SCHEMA = "doc_id long, start_word long, end_word long, other_doc_id long, other_start_word long, other_end_word long, similarity double"
 
 
-def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent: int = 80, functions: int = 6, agree: int = 2, gap: int = 10) -> DataFrame:
+def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent: int = 80, functions: int = 3, block: int = 512) -> DataFrame:
     """Passages of ``words`` words or more that stand in more than one document of documents (doc_id, text): one row for each
-    passage of a document and the earlier document it was met in, with word ranges (end exclusive) and the Jaccard similarity
-    of the passages' ``k``-word shingles.
+    passage of a document and a document with a smaller id that it was met in, with word ranges (end exclusive) and the least Jaccard
+    similarity of the ``k``-word shingles over the stretches that make it up.
 
     Documents with equal texts form a class: the smallest id is compared with other texts, the other copies point to it with
-    their whole text. Documents that share a window are compared unless verified passages already join them there, so pairs within
-    a group of equal passages are not all listed. For signatures of more than SMALL windows a pair is verified only if ``percent`` of a
-    shortest passage's shingles are shared around the windows' centres (a passage much longer has other windows if it is thin at one). Null and shorter texts, and rows with a null doc_id, have no rows.
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased. Texts may be of any length.
+    their whole text. Within a signature all texts that share a passage are joined by rows, directly or through others: not all
+    pairs of such a group are listed. A pair at exactly ``percent`` is missed if no function has its smallest
+    hash in the shared shingles: 0.2 ** functions at 80 %. Null and shorter texts and rows with a null doc_id have no rows, an empty
+    table gives none, repeated rows are copies; of a repeated doc_id with different texts each text counts, and a passage that only these
+    share is not listed; other columns are not read. Words are runs of bytes other than ASCII white space, A-Z
+    lower-cased. Texts may be of any length. ``block`` bounds the rows compared at once.
     """
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.select("doc_id", F.sha2("text", 256).alias("t"), F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long").alias("n")).where(F.col("n") >= words)
+    spark = documents.sparkSession
+    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    keyed = docs.select("doc_id", "t", F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long").alias("n")).where(F.col("n") >= words)
     classes = stage(keyed.groupBy("t").agg(F.min("doc_id").alias("id")), "cw-classes")
-    reps = docs.withColumn("t", F.sha2("text", 256)).join(classes.hint("merge"), "t").where("doc_id = id").dropDuplicates(["id"]).select("id", "text")
     least = words - k + 1
-    windows = reps.mapInArrow(partial(_windows, functions=functions, least=least, k=k), "signature long, f int, id long, low int, at int, high int")
-    group = Window.partitionBy("signature", "f")
-    order = group.orderBy("id", "at")
-    held = windows.withColumns({"n": F.count(F.lit(1)).over(group), "_first": F.min("id").over(group), "_last": F.max("id").over(group)}).where("_first <> _last").drop("_first", "_last")
-    chain = stage(held.withColumns({f"{c}_b": F.lag(c).over(order) for c in ("id", "low", "at", "high")}), "cw-chain")
-
-    def compared(met: DataFrame, name: str) -> DataFrame:
-        """Verified passages of the pairs (f, id, low, at, high and the same with _b) that enough functions met."""
-        hit = F.struct("f", "low", "at", "high", "low_b", "at_b", "high_b")
-        pairs = met.groupBy(F.col("id").alias("a"), F.col("id_b").alias("b")).agg(F.collect_list(hit).alias("hits")).where(F.size(F.array_distinct(F.col("hits.f"))) >= agree)
-        pairs = stage(pairs.mapInArrow(partial(_seeds, words=words, k=k, agree=agree), "a long, b long, seeds array<struct<at:int,at_b:int>>"), f"{name}-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        tokens = stage(docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(partial(_tokens, k=k), "id long, tokens binary"), f"{name}-tokens")
-        ready = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
-        return stage(ready.mapInArrow(partial(_verify, words=words, k=k, percent=percent, gap=gap), SCHEMA), f"{name}-near")
-
-    near = compared(chain.where("id <> id_b"), "cw-first")
-    spans = near.groupBy(F.col("doc_id").alias("id"), F.col("other_doc_id").alias("id_b")).agg(F.collect_list(F.struct("start_word", "end_word", "other_start_word", "other_end_word")).alias("spans"))
-    inside = F.expr(f"exists(spans, s -> at >= s.start_word and at <= s.end_word - {k} and at_b >= s.other_start_word and at_b <= s.other_end_word - {k})")
-    runs = chain.join(spans, ["id", "id_b"], "left").withColumn("new", F.when(F.coalesce(inside, F.lit(False)), 0).otherwise(1))
-    runs = runs.withColumns({"run": F.sum("new").over(order), "runs": F.sum("new").over(group)}).where("runs > 1").select("signature", "f", "id", "low", "at", "high", "run", "n")
-    runs = stage(runs, "cw-runs")
-    asked = runs.where(F.col("n") > SMALL).groupBy("id").agg(F.collect_list(F.struct("signature", "f", "low", "at", "high", "run")).alias("windows"))
-    texts = docs.withColumnRenamed("doc_id", "id").join(asked.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    large = texts.join(asked.hint("merge"), "id").mapInArrow(partial(_surroundings, k=k, reach=least - 1), f"{OPEN}, near array<smallint>")
-    each = stage(runs.where(F.col("n") <= SMALL).drop("n").withColumn("near", F.lit(None).cast("array<smallint>")).unionByName(large), "cw-open")
-    other = each.select("signature", "f", *[F.col(c).alias(f"{c}_b") for c in ("id", "low", "at", "high", "run", "near")])
-    alike = F.col("near").isNull() | (F.size(F.array_intersect("near", "near_b")) * 100 >= percent * least)
-    met = each.join(other.hint("merge"), ["signature", "f"]).where((F.col("id") > F.col("id_b")) & (F.col("run") != F.col("run_b")) & alike)
-    near = near.unionByName(compared(met, "cw-second")).dropDuplicates(["doc_id", "start_word", "end_word", "other_doc_id", "other_start_word", "other_end_word"])
+    windows = docs.select("t", "text")
+    make = partial(_windows, functions=functions, least=least, k=k)
+    seen = windows.mapInArrow(partial(make, places=False), "signature long, v int, t int").groupBy("signature")
+    seen = seen.agg(F.min("t").alias("t1"), F.max("t").alias("t2"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("t1 <> t2")
+    shared = stage(seen.select("signature", (F.col("v1") != F.col("v2")).alias("many")), "cw-shared")
+    release(spark)
+    placed = windows.mapInArrow(partial(make, places=True), "signature long, variant long, t long, at int, lo byte, hi byte")
+    held = stage(placed.join(shared.hint("merge"), "signature"), "cw-held")
+    release(spark)
+    first = F.min(F.struct("t", "at"))
+    variants = stage(held.groupBy("signature", "variant", "lo", "hi", "many").agg(first.alias("first")).select("*", "first.*").drop("first"), "cw-variants")
+
+    # texts of one variant: each with the first, word for word
+    members = held.select("signature", "variant", "t", "at").distinct().join(variants.select("signature", "variant", "lo", "hi", F.col("t").alias("other_t"), F.col("at").alias("other_at")).hint("merge"), ["signature", "variant"]).where("t <> other_t")
+    span = lambda at, edge: (F.col(at) + F.col(edge)).cast("int")
+    exact = members.select("t", span("at", "lo").alias("start"), span("at", "hi").alias("end"), "other_t", span("other_at", "lo").alias("other_start"), span("other_at", "hi").alias("other_end"), F.lit(1.0).alias("similarity"))
+
+    # different variants of a signature
+    blocks = variants.where("many").groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asked = variants.join(blocks.hint("merge"), "signature").groupBy("t").agg(F.collect_list(F.struct("signature", F.pmod("variant", F.col("blocks")).cast("int").alias("block"), "blocks", "variant", "at", "lo", "hi")).alias("asked"))
+    asked = asked.join(classes.hint("merge"), "t").select("id", "t", "asked")
+    texts = docs.select(F.col("doc_id").alias("id"), "t", "text").join(asked.hint("merge"), ["id", "t"]).dropDuplicates(["id", "t"])
+    contents = stage(texts.select("t", "text", "asked").mapInArrow(partial(_contents, k=k), CONTENTS), "cw-contents")
+    release(spark)
+    compare = {"least": least, "percent": percent}
+    found = stage(contents.repartition("signature", "block").sortWithinPartitions("signature", "block", "t", "variant").mapInArrow(partial(_link, **compare), LINKS), "cw-links")
+    columns = exact.columns
+    links = exact.unionByName(found.where("t is not null").select(columns))
+
+    # signatures of more blocks: components against the largest one, then what stays apart against all
+    label = found.where("root is not null").select("signature", "variant", "root", "block")
+    roots = label.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("n"))
+    hubs = roots.groupBy("signature").agg(F.max(F.struct("n", "root")).alias("hub")).select("signature", F.col("hub.root").alias("hub"))
+    large = contents.where("blocks > 1")
+    row = large.select("signature", "variant", "t", "at", "lo", "tokens")
+    other = row.select("signature", F.col("variant").alias("hub"), *[F.col(c).alias(f"other_{c}") for c in ("t", "at", "lo", "tokens")])
+    against = roots.join(hubs, "signature").where("root <> hub").join(row.withColumnRenamed("variant", "root"), ["signature", "root"]).join(other, ["signature", "hub"])
+    met = stage(against.withColumn("variant", F.col("root")).withColumn("block", F.lit(0)).mapInArrow(partial(_pairs, **compare), LINKS), "cw-hub")
+    named = label.join(hubs, "signature").join(met.select("signature", "root", F.lit(True).alias("joined")).distinct(), ["signature", "root"], "left")
+    named = named.select("signature", "variant", "hub", F.when(F.col("joined"), F.col("hub")).otherwise(F.col("root")).alias("component"))
+    rows = large.join(named, ["signature", "variant"]).withColumn("x", F.struct("t", "at", "lo", "component", "variant", "tokens"))
+    rows = stage(rows.select("signature", "hub", "block", "blocks", "component", "x"), "cw-apart")
+    strays = rows.where("component <> hub").groupBy("signature", "hub", "blocks", F.col("block").alias("stray_block")).agg(F.collect_list("x").alias("strays"))
+    strays = strays.select("signature", "hub", "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    tiles = strays.join(rows.groupBy("signature", "block").agg(F.collect_list("x").alias("members")), ["signature", "block"])
+    links = links.unionByName(met.select(columns)).unionByName(tiles.mapInArrow(partial(_tiles, **compare), LINKS).select(columns))
+
+    ids = classes.select("t", F.col("id").alias("doc_id"))
+    ends = links.where("t <> other_t").distinct().join(ids.hint("merge"), "t").join(ids.select(F.col("t").alias("other_t"), F.col("doc_id").alias("other_doc_id")).hint("merge"), "other_t").where("doc_id <> other_doc_id")
+    turned = F.col("doc_id") < F.col("other_doc_id")
+    side = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    spans = F.struct(side("start", "other_start").alias("a"), side("end", "other_end").alias("b"), side("other_start", "start").alias("c"), side("other_end", "end").alias("d"), "similarity")
+    pairs = ends.groupBy(F.greatest("doc_id", "other_doc_id").alias("doc_id"), F.least("doc_id", "other_doc_id").alias("other_doc_id")).agg(F.collect_list(spans).alias("spans"))
+    near = pairs.select("doc_id", "other_doc_id", "spans").mapInArrow(partial(_merged, k=k, slack=int(least * (100 - percent) / (100 + percent))), SCHEMA)
     copies = keyed.join(classes.hint("merge"), "t").where("doc_id <> id").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("other_start_word"), F.col("n").alias("other_end_word"), F.lit(1.0).alias("similarity"))
-    return near.unionByName(copies)
+    return near.unionByName(copies.distinct())
