@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import release, stage, text_slices
 from .tokens import BASE, INVERSE, NOT_SPACE, Words, _powers, mix, shingles
 
-PLACE = 22
 #: Tokens left and right of a centre at which its text and another one are still compared for words in other places (insertions).
 SHIFT = 8
 CELLS = 1024
@@ -35,22 +34,29 @@ CELLS = 1024
 def compact_windows(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, left, centre, right of the compact windows of ``least`` tokens or more, level by level of the Cartesian trees.
 
-    Hashes are compared by all but their lowest PLACE bits (or as many as a longer h needs for its places); of equal smallest
-    ones the leftmost is the centre.
+    Of equal smallest hashes the leftmost is the centre; all of them are taken in one level, so repeated words do not make it deep.
     """
-    low, high, row = off[:-1].copy(), off[1:].copy(), np.arange(len(off) - 1)
-    mask = np.uint64((1 << max(PLACE, len(h).bit_length())) - 1)
-    packed = np.append((h & ~mask) | np.arange(len(h), dtype=np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))  # a minimum carries its place
+    low, high, row = off[:-1], off[1:], np.arange(len(off) - 1)
     out = []
     while True:
-        wide = high - low >= least
-        low, high, row = low[wide], high[wide], row[wide]
-        if not len(low):
+        size = high - low
+        wide = np.flatnonzero(size >= least)
+        if not len(wide):
             break
-        smallest = np.minimum.reduceat(packed, np.stack([low, high], axis=1).reshape(-1))[::2]
-        centre = (smallest & mask).astype(np.int64)
-        out.append((row, low, centre, high))
-        low, high, row = np.stack([low, centre + 1], axis=1).reshape(-1), np.stack([centre, high], axis=1).reshape(-1), np.repeat(row, 2)
+        low, high, row, size = low[wide], high[wide], row[wide], size[wide]
+        begin = np.cumsum(size) - size
+        node = np.repeat(np.arange(len(low)), size)
+        place = np.arange(len(node)) + np.repeat(low - begin, size)
+        value = h[place]
+        hit = np.flatnonzero(value == np.minimum.reduceat(value, begin)[node])
+        centre, node = place[hit], node[hit]
+        again = np.append(False, node[1:] == node[:-1])
+        left = np.where(again, np.append(0, centre[:-1] + 1), low[node])
+        right = high[node]
+        keep = right - left >= least
+        out.append((row[node[keep]], left[keep], centre[keep], right[keep]))
+        end = np.append(~again[1:], True)  # the last centre of its node
+        low, high, row = np.concatenate([left, centre[end] + 1]), np.concatenate([centre, right[end]]), np.concatenate([row[node], row[node[end]]])
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     row, low, centre, high = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -61,7 +67,8 @@ def compact_windows(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndar
 def windows_of(h: np.ndarray, off: np.ndarray, functions: int, least: int):
     """signature, variant, row, at, lo, hi of all windows, one array of each for every hash function.
 
-    at + lo to at + hi is the stretch within least - 1 tokens of the centre, inside the window; the variant is its hash.
+    at + lo to at + hi is the stretch within least - 1 tokens of the centre, inside the window; the variant is its hash. Of a run of
+    equal tokens only the first is a centre: its window holds those of the others.
     """
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * _powers(BASE, len(h)), out=total[1:])
@@ -69,6 +76,8 @@ def windows_of(h: np.ndarray, off: np.ndarray, functions: int, least: int):
     for f in range(functions):
         g = mix(h ^ mix(np.array([f + 1], np.uint64)))
         row, low, at, high = compact_windows(g, off, least)
+        new = (low < at) | (at == 0) | (h[off[row] + at - 1] != h[off[row] + at])
+        row, low, at, high = row[new], low[new], at[new], high[new]
         base = off[row]
         lo, hi = np.maximum(low - at, 1 - least), np.minimum(high - at, least)
         first, last = base + at + lo, base + at + hi
@@ -93,19 +102,29 @@ def _windows(batches, functions: int, least: int, k: int, places: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "v", "t"])
 
 
+def _counted(batches):
+    for whole in batches:
+        for part in text_slices(whole):
+            n = np.diff(Words(part.column("text"), NOT_SPACE, lower=False).first)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64())], ["doc_id", "t", "n"])
+
+
 def _contents(batches, k: int):
     """The tokens around each asked centre of a text."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            h, _ = shingles(Words(batch.column("text").slice(i, 1), NOT_SPACE), k)
-            short = (h >> np.uint64(32)).astype(np.uint32)
-            asked = batch.column("asked").slice(i, 1).flatten()
-            for start in range(0, len(asked), 8192):
-                part = asked.slice(start, 8192)
-                fields = dict(zip((f.name for f in part.type), part.flatten(), strict=True))
-                at, lo, hi = (fields[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "lo", "hi"))
-                fields |= {"t": pa.array(np.full(len(part), batch.column("t")[i].as_py(), np.int64)), "tokens": pa.array([short[x:y].tobytes() for x, y in zip(at + lo, at + hi, strict=True)], pa.binary())}
-                yield pa.RecordBatch.from_arrays([fields[c] for c in CONTENT_NAMES], CONTENT_NAMES)
+    for whole in batches:
+        for batch in text_slices(whole):
+            h, off = shingles(Words(batch.column("text"), NOT_SPACE), k)
+            short = (h >> np.uint64(32)).astype("<u4").tobytes()
+            asked = batch.column("asked")
+            count = np.diff(asked.offsets.to_numpy())
+            flat = asked.flatten()
+            fields = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+            begin = np.repeat(off[:-1], count) + fields["at"].to_numpy(zero_copy_only=False)
+            first, last = ((begin + fields[c].to_numpy(zero_copy_only=False)) * 4 for c in ("lo", "hi"))
+            fields |= {"t": pa.array(np.repeat(batch.column("t").to_numpy(zero_copy_only=False), count)), "tokens": pa.array([short[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())}
+            rows = pa.RecordBatch.from_arrays([fields[c] for c in CONTENT_NAMES], CONTENT_NAMES)
+            for start in range(0, rows.num_rows, 8192):
+                yield rows.slice(start, 8192)
 
 
 CONTENT_NAMES = ["signature", "block", "blocks", "variant", "t", "at", "lo", "hi", "tokens"]
@@ -123,13 +142,14 @@ class Rows:
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo.astype(np.int64) + least - 1, size)
         self.least, self.tokens, self.there = least, np.zeros((n, width), np.uint32), np.zeros((n, width), bool)
         self.tokens[row, place], self.there[row, place] = flat, True
-        self.cell = (self.tokens % np.uint32(CELLS)).astype(np.int64)
-        self.table = np.zeros((n, CELLS), bool)
-        self.table[row, self.cell[row, place]] = True
+        self.count = np.zeros((n, CELLS), np.float32)
+        np.add.at(self.count.reshape(-1), row * CELLS + (flat % np.uint32(CELLS)), 1)
 
-    def may_hit(self, i: np.ndarray, other: Rows, j: np.ndarray) -> np.ndarray:
-        """The most places of the rows i whose tokens can stand in the other's rows j."""
-        return (other.table.reshape(-1)[j[:, None] * CELLS + self.cell[i]] & self.there[i]).sum(axis=1)
+    def may_meet(self, own: slice, other: Rows, theirs: slice, percent: int) -> np.ndarray:
+        """Pairs (rows by rows) that can have a passage: the most places of one whose tokens can stand in the other are enough."""
+        need = percent * 2 * self.least / (100 + percent) - 1e-3
+        a, b = self.count[own], other.count[theirs]
+        return (a @ (b > 0).T.astype(np.float32) >= need) & ((a > 0).astype(np.float32) @ b.T >= need)
 
 
 def _stretch(a: np.ndarray, b: np.ndarray, least: int, loss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +186,6 @@ def meet(left: Rows, i: np.ndarray, right: Rows, j: np.ndarray, percent: int) ->
     similarity[run], first[run], last[run] = 1.0, c - before[run] + 1, c + after[run] - 1
     need = percent * 2 * least / (100 + percent) - 1e-6
     left_over = np.flatnonzero(~run)
-    left_over = left_over[left.may_hit(i[left_over], right, j[left_over]) >= need]
-    left_over = left_over[right.may_hit(j[left_over], left, i[left_over]) >= need]
     if not len(left_over):
         return similarity, first, last
     in_x, in_y = left.there[i[left_over]], right.there[j[left_over]]
@@ -195,35 +213,54 @@ def meet(left: Rows, i: np.ndarray, right: Rows, j: np.ndarray, percent: int) ->
     return similarity, first, last
 
 
-def spanning(group: np.ndarray, rows: Rows, percent: int, most: int = 10_000):
-    """Links between the rows of each group (rows sorted by group): every row meets all later ones it is not yet linked to.
-
-    Returns the components' first rows and (i, j, similarity, first place, last place) of the links.
+def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0 to n - 1 that each one reaches over the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def spanning(group: np.ndarray, rows: Rows, percent: int, most: int = 2_000):
+    """Links between the rows of each group (rows sorted by group): all pairs that can meet are compared, first those of each group's
+    first row, then those of the next one, two, four, ..., unless links found before join them.
+
+    Returns the first row that each one reaches, and (i, j, similarity, first place, last place) of the links.
     """
     n = len(group)
-    label = np.arange(n)
     begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, n))
-    links = []
-    for r in range(int(size.max(initial=0)) - 1):
-        live = size > r + 1
-        count = size[live] - r - 1
-        i = np.repeat(begin[live] + r, count)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        to = np.arange(n)
-        for s in range(0, len(i), most):
-            a, b = i[s : s + most], j[s : s + most]
-            similarity, first, last = meet(rows, a, rows, b, percent)
+    pairs = []
+    for two in np.split(begin[size == 2], range(most, int((size == 2).sum()), most)):
+        pairs.append((two, two + 1))
+    for low, m in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        i, j = np.nonzero(rows.may_meet(slice(low, low + m), rows, slice(low, low + m), percent))
+        pairs.append((low + i[i < j], low + j[i < j]))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    rank = i - np.repeat(begin, size)[i]
+    root, links, done, step = np.arange(n), [], 0, 1
+    while len(i):
+        now = rank < done + step
+        a, b = i[now], j[now]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        for s in range(0, len(a), most):
+            p, q = a[s : s + most], b[s : s + most]
+            similarity, first, last = meet(rows, p, rows, q, percent)
             yes = similarity > 0
-            links.append((a[yes], b[yes], similarity[yes], first[yes], last[yes]))
-            to[label[b[yes]]] = label[a[yes]]
-        label = to[label]
-    root = np.arange(n)
-    np.minimum.at(root, label, np.arange(n))  # the smallest row of each label
+            links.append((p[yes], q[yes], similarity[yes], first[yes], last[yes]))
+        i, j, rank = i[~now], j[~now], rank[~now]
+        done, step = done + step, step * 2
+        if links:
+            root = smallest(n, np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
     empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
-    return root[label], [np.concatenate(c) for c in zip(*links, strict=True)] if links else empty
+    return root, [np.concatenate(c) for c in zip(*links, strict=True)] if links else empty
 
 
 LINK_NAMES = ["t", "start", "end", "other_t", "other_start", "other_end", "similarity", "signature", "variant", "root", "block"]
@@ -294,9 +331,9 @@ def _tiles(batches, least: int, percent: int):
                 sides.append([f[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "at", "lo", "component", "variant")] + [f["tokens"].to_pylist()])
             (t, at, lo, c, v, tokens), (u, bt, blo, d, w, other) = sides
             left, right, hub = Rows(lo, tokens, least), Rows(blo, other, least), batch.column("hub")[i].as_py()
-            p, q = np.nonzero((c[:, None] != d) & ((d == hub) | (v[:, None] < w)))
-            for start in range(0, len(p), 10_000):
-                a, b = p[start : start + 10_000], q[start : start + 10_000]
+            p, q = np.nonzero((c[:, None] != d) & ((d == hub) | (v[:, None] < w)) & left.may_meet(slice(None), right, slice(None), percent))
+            for start in range(0, len(p), 2_000):
+                a, b = p[start : start + 2_000], q[start : start + 2_000]
                 similarity, first, last = meet(left, a, right, b, percent)
                 yes = similarity > 0
                 found = _links(t, at, a[yes], b[yes], similarity[yes], first[yes], last[yes], least, u, bt)
@@ -352,7 +389,7 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    keyed = docs.select("doc_id", "t", F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long").alias("n")).where(F.col("n") >= words)
+    keyed = stage(docs.mapInArrow(_counted, "doc_id long, t long, n long").where(F.col("n") >= words), "cw-keyed")
     classes = stage(keyed.groupBy("t").agg(F.min("doc_id").alias("id")), "cw-classes")
     least = words - k + 1
     windows = docs.select("t", "text")
