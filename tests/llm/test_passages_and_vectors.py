@@ -114,7 +114,7 @@ def test_near_vectors_equal_brute_force(spark):
     rows += [(1000 + i, rows[5][1], 1) for i in range(30)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] + [1.0] * 15, 1), (2003, [None] + [1.0] * 15, 1), (None, rows[5][1], 1), (2004, [], 1), (2005, [float("inf")] + [1.0] * 15, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as id", "2 as copies", "3 as k")
-    got = {r.vec_id: r for r in rpforest.near_vectors(df, leaf=32, block=64, trees=8, margin=0.05).collect()}
+    got = {r.vec_id: r for r in rpforest.near_vectors(df, leaf=32, block=64, trees=8).collect()}
     assert len(got) == len(rows)
     fine = [r for r in rows if r[0] is not None and r[0] < 2000 and r[2] is not None]
     x = np.array([r[1] for r in fine])
