@@ -8,13 +8,13 @@ distance (insertions and deletions cost 1, replacements 2) where their block siz
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
 from .tokens import BASE, BYTE_CODE, INVERSE, _powers, mix
 
 WINDOW, LEAST, MOST, COMMON = 7, 3, 64, 4
@@ -92,52 +92,59 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+
+def _result(doc_id, text: str, own: str, following: str, next_own: str) -> tuple:
+    new = edited(text, following)
+    g = fingerprint(new.encode())
+    return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), own, g, likeness(own, g), likeness(own, next_own)
+
+
 def _rows(batches):
-    """Rows come by (part, head last, doc_id descending): each is written when the next one is known."""
-    waiting = None
+    """Rows come in falling order: each is written when the next one is known. The last one's row holds what the next range needs:
+    the first row's place and text, and the last one's text."""
+    first = waiting = None
     for batch in batches:
         out = []
-        for part, doc_id, text, head in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "head")), strict=True):
-            text = text or ""
-            now = (part, doc_id, text, head, fingerprint(text.encode()))
-            if waiting is not None and waiting[0] == part and not waiting[3]:
-                _, i, t, _, f = waiting
-                new = edited(t, text)
-                g = fingerprint(new.encode())
-                out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), f, g, likeness(f, g), likeness(f, now[4])))
+        for doc_id, text, order, tie in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "order", "tie")), strict=True):
+            now = (doc_id, text, fingerprint(text.encode()))
+            if waiting is None:
+                first = (order, tie, text)
+            else:
+                out.append(_result(*waiting, *now[1:]))
             waiting = now
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)), *(pa.nulls(len(out), k) for k in (pa.int64(), pa.int64(), pa.string(), pa.string()))], [*NAMES, "order", "tie", "head", "tail"])
+    if waiting is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([waiting[0]], pa.int64()), *(pa.nulls(1, k) for k in _KINDS[1:]), pa.array([first[0]]), pa.array([first[1]]), pa.array([first[2]]), pa.array([waiting[1]])], [*NAMES, "order", "tie", "head", "tail"])
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _ends(batches):
+    for batch in batches:
+        out = [_result(i, t, fingerprint(t.encode()), u, fingerprint(u.encode())) for i, t, u in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "following")), strict=True)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], NAMES)
 
 
-def fingerprints(documents: DataFrame, rows_a_part: int = 2000, most_parts: int = 20_000) -> DataFrame:
+def fingerprints(documents: DataFrame, rows_a_part: int | None = None) -> DataFrame:
     """Fingerprints of every text of documents (doc_id, text) and of its edited text, and how near they and the next text's are.
 
     The next document follows in descending doc_id, the first follows the last; a single document follows itself. A null
-    text is empty; rows with a null doc_id come last, rows with equal ids follow each other by text. Texts are dealt out once, in
-    ranges of ids (``most_parts`` at most, so one value for each fits on the driver), and each range also gets the first row of
-    the range below, so no window runs over all rows in one task.
+    text is empty; rows with a null doc_id come last, rows with equal ids (repeated rows too) follow each other by a hash of their texts, an empty
+    table gives none; texts may be of any length; other columns are not read. Texts are dealt out once, in ranges of (id, hash) that Spark
+    chooses (or of about ``rows_a_part`` rows), so equal and null ids fall into many of them; each range streams through its task, and only its two
+    ends' texts meet those of its neighbours.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = docs.agg(F.count(F.lit(1))).first()[0]
-    if not rows:
-        return spark.createDataFrame([], SCHEMA)
-    parts = min(most_parts, max(1, rows // rows_a_part))
-    cuts = docs.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    cut = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 64 else F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<long>")
-    placed = docs.withColumn("order", order).withColumn("part", F.array_size(F.filter(cut, lambda c: c < F.col("order"))) if cuts else F.lit(0))
-    tops = {r.part: r.top for r in placed.groupBy("part").agg(F.max("order").alias("top")).collect()}  # one value for each range
-    held = sorted(tops, reverse=True)
-    above = {p: held[i - 1] for i, p in enumerate(held)}  # the range that is followed by p; the top one follows the lowest
-    heads = spark.createDataFrame([(p, tops[p], above[p]) for p in held], "part int, top long, above int")
-    first = placed.join(F.broadcast(heads), "part").where(F.col("order") == F.col("top"))
-    first = first.groupBy("above").agg(F.min_by("doc_id", F.coalesce("text", F.lit(""))).alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("order").alias("order"))
-    both = placed.select("part", "doc_id", "text", "order", F.lit(0).alias("head")).unionByName(first.select(F.col("above").alias("part"), "doc_id", "text", "order", F.lit(1).alias("head")))
-    dealt = both.repartition(len(held), "part").sortWithinPartitions("part", "head", F.desc("order"), F.coalesce("text", F.lit("")))
-    return dealt.select("part", "doc_id", "text", "head").mapInArrow(partial(_rows), SCHEMA)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumns({"order": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    falling = [F.desc("order"), F.col("tie")]
+    parts = [max(1, docs.count() // rows_a_part)] if rows_a_part else []
+    dealt = docs.repartitionByRange(*parts, *falling).sortWithinPartitions(*falling)
+    done = stage(dealt.mapInArrow(_rows, f"{SCHEMA}, order long, tie long, head string, tail string"), "ctph-rows")
+    ends = done.where("head is not null")  # one row for each range
+    every = Window.orderBy(F.desc("order"), "tie", F.length("tail"))
+    ends = ends.withColumn("following", F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(Window.unboundedPreceding, 0))))
+    return done.where("head is null").select(*NAMES).unionByName(ends.select("doc_id", "tail", "following").mapInArrow(_ends, SCHEMA))
