@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage, text_slices
+from .common import components, release, stage, text_slices
 from .tokens import BASE, INVERSE, NOT_SPACE, Words, _powers, mix, shingles
 
 #: Tokens left and right of a centre at which its text and another one are still compared for words in other places (insertions).
@@ -127,8 +127,8 @@ def _contents(batches, k: int):
                 yield rows.slice(start, 8192)
 
 
-CONTENT_NAMES = ["signature", "block", "blocks", "variant", "t", "at", "lo", "hi", "tokens"]
-CONTENTS = "signature long, block int, blocks int, variant long, t long, at int, lo byte, hi byte, tokens binary"
+CONTENT_NAMES = ["signature", "block", "blocks", "variant", "t", "lo", "tokens"]
+CONTENTS = "signature long, block int, blocks int, variant long, t long, lo byte, tokens binary"
 
 
 class Rows:
@@ -167,12 +167,12 @@ def _stretch(a: np.ndarray, b: np.ndarray, least: int, loss: float) -> tuple[np.
     return best >= 0, first, last
 
 
-def meet(left: Rows, i: np.ndarray, right: Rows, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meet(left: Rows, i: np.ndarray, right: Rows, j: np.ndarray, percent: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of rows i of left and j of right: similarity (0: no passage), the stretch's first and last place, which are the same in both rows.
 
     A run of ``least`` equal tokens through the centre is a passage of similarity 1. Else the longest stretch through the centre is
     taken in which the tokens that stand in the other text (up to SHIFT places away) are enough for ``percent``, and its
-    similarity is counted on the two sets.
+    similarity is counted on the two sets. ``exact``: only the first.
     """
     least = left.least
     c, n = least - 1, len(i)
@@ -186,7 +186,7 @@ def meet(left: Rows, i: np.ndarray, right: Rows, j: np.ndarray, percent: int) ->
     similarity[run], first[run], last[run] = 1.0, c - before[run] + 1, c + after[run] - 1
     need = percent * 2 * least / (100 + percent) - 1e-6
     left_over = np.flatnonzero(~run)
-    if not len(left_over):
+    if exact or not len(left_over):
         return similarity, first, last
     in_x, in_y = left.there[i[left_over]], right.there[j[left_over]]
     x, y = left.tokens[i[left_over]], right.tokens[j[left_over]]
@@ -243,34 +243,37 @@ def spanning(group: np.ndarray, rows: Rows, percent: int, most: int = 2_000):
         i, j = np.nonzero(rows.may_meet(slice(low, low + m), rows, slice(low, low + m), percent))
         pairs.append((low + i[i < j], low + j[i < j]))
     i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    rank = i - np.repeat(begin, size)[i]
-    root, links, done, step = np.arange(n), [], 0, 1
-    while len(i):
-        now = rank < done + step
-        a, b = i[now], j[now]
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-        for s in range(0, len(a), most):
-            p, q = a[s : s + most], b[s : s + most]
-            similarity, first, last = meet(rows, p, rows, q, percent)
-            yes = similarity > 0
-            links.append((p[yes], q[yes], similarity[yes], first[yes], last[yes]))
-        i, j, rank = i[~now], j[~now], rank[~now]
-        done, step = done + step, step * 2
-        if links:
-            root = smallest(n, np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
+    place = np.arange(n) - np.repeat(begin, size)
+    root, links = np.arange(n), []
+    for exact in (True, False):  # stretches that are shared word for word first, so that a nearly equal one does not stand for them
+        done, step = 0, 1
+        left, right = i, j
+        while len(left):
+            now = place[left] < done + step
+            a, b = left[now], right[now]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            for s in range(0, len(a), most):
+                p, q = a[s : s + most], b[s : s + most]
+                similarity, first, last = meet(rows, p, rows, q, percent, exact)
+                yes = similarity > 0
+                links.append((p[yes], q[yes], similarity[yes], first[yes], last[yes]))
+            left, right = left[~now], right[~now]
+            done, step = done + step, step * 2
+            if links and len(a):
+                root = smallest(n, np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
     empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
     return root, [np.concatenate(c) for c in zip(*links, strict=True)] if links else empty
 
 
-LINK_NAMES = ["t", "start", "end", "other_t", "other_start", "other_end", "similarity", "signature", "variant", "root", "block"]
-LINKS = "t long, start int, end int, other_t long, other_start int, other_end int, similarity double, signature long, variant long, root long, block int"
+MARK_NAMES = ["signature", "variant", "own", "other", "block", "lo", "hi", "similarity"]
+#: A variant, its component and the one that it was linked to (the same: inside a block), and the stretch around its centre that it shares; no similarity: none.
+MARKS = "signature long, variant long, own long, other long, block int, lo int, hi int, similarity double"
 
 
-def _links(t, at, i, j, similarity, first, last, least: int, other_t=None, other_at=None) -> list[pa.Array]:
-    low, high = first - least + 1, last - least + 2
-    other_t, other_at = (t, at) if other_t is None else (other_t, other_at)
-    return [pa.array(c) for c in (t[i], (at[i] + low).astype(np.int32), (at[i] + high).astype(np.int32), other_t[j], (other_at[j] + low).astype(np.int32), (other_at[j] + high).astype(np.int32), similarity)]
+def _marks(signature, variant, own, other, block, first, last, similarity, least: int) -> pa.RecordBatch:
+    columns = [signature, variant, own, other, block.astype(np.int32), (first - least + 1).astype(np.int32), (last - least + 2).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(similarity, mask=np.asarray(similarity) == 0)], MARK_NAMES)
 
 
 def _numbers(batch, *names: str) -> list[np.ndarray]:
@@ -278,18 +281,24 @@ def _numbers(batch, *names: str) -> list[np.ndarray]:
 
 
 def _link(batches, least: int, percent: int, rows: int = 4096):
-    """Rows come sorted by signature and block: links within the blocks, and the component of each row of a signature with more blocks."""
+    """Rows come sorted by signature and block: the mark of each linked variant, and of every one where a signature has more blocks."""
 
     def done(table: pa.Table):
         b = table.combine_chunks()
-        signature, block, blocks, variant, t, at, lo = _numbers(b, "signature", "block", "blocks", "variant", "t", "at", "lo")
+        signature, block, blocks, variant, lo = _numbers(b, "signature", "block", "blocks", "variant", "lo")
         group = np.cumsum(np.append(False, (signature[1:] != signature[:-1]) | (block[1:] != block[:-1])))
-        root, links = spanning(group, Rows(lo, b.column("tokens").to_pylist(), least), percent)
-        found = _links(t, at, *links, least)
-        yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(found[0]), pa.int64()) for _ in range(3)), pa.nulls(len(found[0]), pa.int32())], LINK_NAMES)
-        many = np.flatnonzero(blocks > 1)
-        blank = [pa.nulls(len(many), f.type) for f in found]
-        yield pa.RecordBatch.from_arrays([*blank, *(pa.array(c[many]) for c in (signature, variant, variant[root])), pa.array(block[many].astype(np.int32))], LINK_NAMES)
+        root, (i, j, similarity, first, last) = spanning(group, Rows(lo, b.column("tokens").to_pylist(), least), percent)
+        for whole in (True, False):  # what is shared word for word, and what nearly
+            of = (similarity == 1) == whole
+            low, high, worst = np.full(len(signature), 2 * least), np.full(len(signature), -1), np.full(len(signature), 2.0)
+            for side in (i[of], j[of]):
+                np.minimum.at(low, side, first[of])
+                np.maximum.at(high, side, last[of])
+                np.minimum.at(worst, side, similarity[of])
+            worst[high < 0] = 0
+            keep = np.flatnonzero((high >= 0) | (blocks > 1) & whole)
+            own = variant[root][keep]
+            yield _marks(signature[keep], variant[keep], own, own, block[keep], low[keep], high[keep], worst[keep], least)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -308,16 +317,23 @@ def _link(batches, least: int, percent: int, rows: int = 4096):
         yield from done(pa.Table.from_batches(held))
 
 
+def _both(signature, v, w, own, other, first, last, similarity, least: int):
+    """The marks of both ends of links."""
+    none = np.zeros(len(v), np.int64)
+    yield _marks(signature, v, own, other, none, first, last, similarity, least)
+    yield _marks(signature, w, other, own, none, first, last, similarity, least)
+
+
 def _pairs(batches, least: int, percent: int):
-    """Links of the pairs in the rows: columns t, at, lo, tokens and the same with other_."""
+    """Links between components' first variants and their hubs'."""
     for whole in batches:
         for start in range(0, whole.num_rows, 4096):
             b = whole.slice(start, 4096)
-            t, at, lo, u, bt, blo = _numbers(b, "t", "at", "lo", "other_t", "other_at", "other_lo")
+            signature, v, w, lo, other_lo = _numbers(b, "signature", "root", "hub", "lo", "other_lo")
             each = np.arange(b.num_rows)
-            similarity, first, last = meet(Rows(lo, b.column("tokens").to_pylist(), least), each, Rows(blo, b.column("other_tokens").to_pylist(), least), each, percent)
+            similarity, first, last = meet(Rows(lo, b.column("tokens").to_pylist(), least), each, Rows(other_lo, b.column("other_tokens").to_pylist(), least), each, percent)
             yes = np.flatnonzero(similarity > 0)
-            yield pa.RecordBatch.from_arrays([*_links(t, at, yes, yes, similarity[yes], first[yes], last[yes], least, u, bt), *(b.column(c).take(pa.array(yes)) for c in ("signature", "variant", "root", "block"))], LINK_NAMES)
+            yield from _both(signature[yes], v[yes], w[yes], v[yes], w[yes], first[yes], last[yes], similarity[yes], least)
 
 
 def _tiles(batches, least: int, percent: int):
@@ -328,60 +344,56 @@ def _tiles(batches, least: int, percent: int):
             for name in ("strays", "members"):
                 rows = batch.column(name).slice(i, 1).flatten()
                 f = dict(zip((x.name for x in rows.type), rows.flatten(), strict=True))
-                sides.append([f[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "at", "lo", "component", "variant")] + [f["tokens"].to_pylist()])
-            (t, at, lo, c, v, tokens), (u, bt, blo, d, w, other) = sides
-            left, right, hub = Rows(lo, tokens, least), Rows(blo, other, least), batch.column("hub")[i].as_py()
+                sides.append([f[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("component", "variant")] + [Rows(f["lo"].to_numpy(zero_copy_only=False), f["tokens"].to_pylist(), least)])
+            (c, v, left), (d, w, right) = sides
+            hub, signature = batch.column("hub")[i].as_py(), batch.column("signature")[i].as_py()
             p, q = np.nonzero((c[:, None] != d) & ((d == hub) | (v[:, None] < w)) & left.may_meet(slice(None), right, slice(None), percent))
             for start in range(0, len(p), 2_000):
                 a, b = p[start : start + 2_000], q[start : start + 2_000]
                 similarity, first, last = meet(left, a, right, b, percent)
                 yes = similarity > 0
-                found = _links(t, at, a[yes], b[yes], similarity[yes], first[yes], last[yes], least, u, bt)
-                yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(found[0]), pa.int64()) for _ in range(3)), pa.nulls(len(found[0]), pa.int32())], LINK_NAMES)
+                a, b = a[yes], b[yes]
+                yield from _both(np.full(len(a), signature), v[a], w[b], c[a], d[b], first[yes], last[yes], similarity[yes], least)
 
 
-def _merged(batches, k: int, slack: int):
-    """One row for each passage of a pair: its stretches that overlap in both texts, joined. Word-for-word ones come first; another one
-    that reaches up to ``slack`` tokens beyond them (its unshared ends, as a rule) does not move their ends."""
+def _passages(batches, k: int, slack: int):
+    """The passages of each text: its stretches that overlap, joined. Word-for-word ones come first; another one that reaches up to ``slack``
+    tokens beyond them (its unshared ends, as a rule) does not move their ends."""
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
+            t = batch.column("t")[i].as_py()
             spans = batch.column("spans").slice(i, 1).flatten()
-            a, b = batch.column("doc_id")[i].as_py(), batch.column("other_doc_id")[i].as_py()
-            rows = sorted(zip(*(c.to_pylist() for c in spans.flatten()), strict=True), key=lambda r: (r[4] < 1, r))
+            rows = sorted(zip(*(c.to_pylist() for c in spans.flatten()), strict=True), key=lambda r: (r[2] < 1, r))
             open_: list[list] = []
-            for start, end, other_start, other_end, similarity in rows:
-                for p in reversed(open_):
-                    if start <= p[1] and end >= p[0] and other_start <= p[3] and other_end >= p[2]:
-                        more = 0 if similarity == 1 else slack
-                        low, high = min(p[0] - start, p[2] - other_start) > more, min(end - p[1], other_end - p[3]) > more
-                        if more and not (low or high):
-                            break
-                        if low or not more:
-                            p[0], p[2] = min(p[0], start), min(p[2], other_start)
-                        if high or not more:
-                            p[1], p[3] = max(p[1], end), max(p[3], other_end)
-                        p[4] = min(p[4], similarity)
-                        break
-                else:
-                    open_.append([start, end, other_start, other_end, similarity])
-            out += [(a, p[0], p[1] + k - 1, b, p[2], p[3] + k - 1, p[4]) for p in open_]
+            for start, end, similarity, kind in rows:
+                near = [p for p in open_ if start <= p[1] and end >= p[0]]
+                if not near:
+                    open_.append([start, end, similarity, {kind}])
+                    continue
+                p, more = near[0], 0 if similarity == 1 else slack
+                p[0] = start if p[0] - start > more else p[0]
+                p[1] = end if end - p[1] > more else p[1]
+                p[2] = min(p[2], similarity)
+                p[3].add(kind)
+                for q in near[1:]:  # joined by this stretch
+                    p[0], p[1], p[2] = min(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2])
+                    p[3] |= q[3]
+                    open_.remove(q)
+            out += [(t, p[0], p[1] + k - 1, p[2], sorted(p[3])) for p in open_]
         if out:
-            columns = [pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start_word", "end_word", "other_doc_id", "other_start_word", "other_end_word", "similarity"])
-
-
-SCHEMA = "doc_id long, start_word long, end_word long, other_doc_id long, other_start_word long, other_end_word long, similarity double"
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["t", "start_word", "end_word", "similarity", "kinds"])
 
 
 def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent: int = 80, functions: int = 3, block: int = 512) -> DataFrame:
     """Passages of ``words`` words or more that stand in more than one document of documents (doc_id, text): one row for each
-    passage of a document and a document with a smaller id that it was met in, with word ranges (end exclusive) and the least Jaccard
-    similarity of the ``k``-word shingles over the stretches that make it up.
+    passage of a document and the document with the smallest id that has it too, with word ranges (end exclusive) and the least Jaccard
+    similarity of the ``k``-word shingles over the stretches that make the passage up.
 
     Documents with equal texts form a class: the smallest id is compared with other texts, the other copies point to it with
-    their whole text. Within a signature all texts that share a passage are joined by rows, directly or through others: not all
-    pairs of such a group are listed. A pair at exactly ``percent`` is missed if no function has its smallest
+    their whole text. Stretches that overlap in a text are one passage, and passages of texts that share a stretch, directly or through others,
+    are one class; its first document is in other_doc_id of all others. A pair at exactly ``percent`` is missed if no function has its smallest
     hash in the shared shingles: 0.2 ** functions at 80 %. Null and shorter texts and rows with a null doc_id have no rows, an empty
     table gives none, repeated rows are copies; of a repeated doc_id with different texts each text counts, and a passage that only these
     share is not listed; other columns are not read. Words are runs of bytes other than ASCII white space, A-Z
@@ -402,12 +414,8 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     held = stage(placed.join(shared.hint("merge"), "signature"), "cw-held")
     release(spark)
     first = F.min(F.struct("t", "at"))
-    variants = stage(held.groupBy("signature", "variant", "lo", "hi", "many").agg(first.alias("first")).select("*", "first.*").drop("first"), "cw-variants")
-
-    # texts of one variant: each with the first, word for word
-    members = held.select("signature", "variant", "t", "at").distinct().join(variants.select("signature", "variant", "lo", "hi", F.col("t").alias("other_t"), F.col("at").alias("other_at")).hint("merge"), ["signature", "variant"]).where("t <> other_t")
-    span = lambda at, edge: (F.col(at) + F.col(edge)).cast("int")
-    exact = members.select("t", span("at", "lo").alias("start"), span("at", "hi").alias("end"), "other_t", span("other_at", "lo").alias("other_start"), span("other_at", "hi").alias("other_end"), F.lit(1.0).alias("similarity"))
+    variants = held.groupBy("signature", "variant", "lo", "hi", "many").agg(first.alias("first"), (F.min("t") != F.max("t")).alias("same"))
+    variants = stage(variants.select("*", "first.*").drop("first"), "cw-variants")
 
     # different variants of a signature
     blocks = variants.where("many").groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -417,34 +425,44 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     contents = stage(texts.select("t", "text", "asked").mapInArrow(partial(_contents, k=k), CONTENTS), "cw-contents")
     release(spark)
     compare = {"least": least, "percent": percent}
-    found = stage(contents.repartition("signature", "block").sortWithinPartitions("signature", "block", "t", "variant").mapInArrow(partial(_link, **compare), LINKS), "cw-links")
-    columns = exact.columns
-    links = exact.unionByName(found.where("t is not null").select(columns))
+    found = stage(contents.repartition("signature", "block").sortWithinPartitions("signature", "block", "t", "variant").mapInArrow(partial(_link, **compare), MARKS), "cw-links")
 
     # signatures of more blocks: components against the largest one, then what stays apart against all
-    label = found.where("root is not null").select("signature", "variant", "root", "block")
+    large = contents.where("blocks > 1")
+    label = found.join(large.select("signature").distinct(), "signature", "left_semi").select("signature", "variant", F.col("own").alias("root"), "block").distinct()
     roots = label.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("n"))
     hubs = roots.groupBy("signature").agg(F.max(F.struct("n", "root")).alias("hub")).select("signature", F.col("hub.root").alias("hub"))
-    large = contents.where("blocks > 1")
-    row = large.select("signature", "variant", "t", "at", "lo", "tokens")
-    other = row.select("signature", F.col("variant").alias("hub"), *[F.col(c).alias(f"other_{c}") for c in ("t", "at", "lo", "tokens")])
+    row = large.select("signature", "variant", "lo", "tokens")
+    other = row.select("signature", F.col("variant").alias("hub"), *[F.col(c).alias(f"other_{c}") for c in ("lo", "tokens")])
     against = roots.join(hubs, "signature").where("root <> hub").join(row.withColumnRenamed("variant", "root"), ["signature", "root"]).join(other, ["signature", "hub"])
-    met = stage(against.withColumn("variant", F.col("root")).withColumn("block", F.lit(0)).mapInArrow(partial(_pairs, **compare), LINKS), "cw-hub")
-    named = label.join(hubs, "signature").join(met.select("signature", "root", F.lit(True).alias("joined")).distinct(), ["signature", "root"], "left")
+    met = stage(against.mapInArrow(partial(_pairs, **compare), MARKS), "cw-hub")
+    joined = met.join(hubs, "signature").where("other = hub").select("signature", F.col("own").alias("root"), F.lit(True).alias("joined")).distinct()
+    named = label.join(hubs, "signature").join(joined, ["signature", "root"], "left")
     named = named.select("signature", "variant", "hub", F.when(F.col("joined"), F.col("hub")).otherwise(F.col("root")).alias("component"))
-    rows = large.join(named, ["signature", "variant"]).withColumn("x", F.struct("t", "at", "lo", "component", "variant", "tokens"))
+    rows = large.join(named, ["signature", "variant"]).withColumn("x", F.struct("lo", "component", "variant", "tokens"))
     rows = stage(rows.select("signature", "hub", "block", "blocks", "component", "x"), "cw-apart")
     strays = rows.where("component <> hub").groupBy("signature", "hub", "blocks", F.col("block").alias("stray_block")).agg(F.collect_list("x").alias("strays"))
     strays = strays.select("signature", "hub", "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     tiles = strays.join(rows.groupBy("signature", "block").agg(F.collect_list("x").alias("members")), ["signature", "block"])
-    links = links.unionByName(met.select(columns)).unionByName(tiles.mapInArrow(partial(_tiles, **compare), LINKS).select(columns))
-
-    ids = classes.select("t", F.col("id").alias("doc_id"))
-    ends = links.where("t <> other_t").distinct().join(ids.hint("merge"), "t").join(ids.select(F.col("t").alias("other_t"), F.col("doc_id").alias("other_doc_id")).hint("merge"), "other_t").where("doc_id <> other_doc_id")
-    turned = F.col("doc_id") < F.col("other_doc_id")
-    side = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
-    spans = F.struct(side("start", "other_start").alias("a"), side("end", "other_end").alias("b"), side("other_start", "start").alias("c"), side("other_end", "end").alias("d"), "similarity")
-    pairs = ends.groupBy(F.greatest("doc_id", "other_doc_id").alias("doc_id"), F.least("doc_id", "other_doc_id").alias("other_doc_id")).agg(F.collect_list(spans).alias("spans"))
-    near = pairs.select("doc_id", "other_doc_id", "spans").mapInArrow(partial(_merged, k=k, slack=int(least * (100 - percent) / (100 + percent))), SCHEMA)
+    marks = found.where("similarity is not null").unionByName(met).unionByName(stage(tiles.mapInArrow(partial(_tiles, **compare), MARKS), "cw-tiles"))
+
+    # every window with what its variant shares, the passages of each text, and their classes by way of the signatures' components
+    alike = marks.groupBy("signature", "variant").agg(F.min("own").alias("own"), *[f(F.when((F.col("similarity") == 1) == whole, F.col(c))).alias(name) for f, c, name, whole in (
+        (F.min, "lo", "run_lo", True), (F.max, "hi", "run_hi", True), (F.min, "lo", "near_lo", False), (F.max, "hi", "near_hi", False), (F.min, "similarity", "similarity", False),
+    )])
+    told = variants.select("signature", "variant", "lo", "hi", "same").join(alike, ["signature", "variant"], "left")
+    marked = held.select("signature", "variant", "t", "at").join(told.hint("merge"), ["signature", "variant"])
+    marked = stage(marked.select("t", "at", "lo", "hi", "same", "run_lo", "run_hi", "near_lo", "near_hi", "similarity", F.xxhash64("signature", F.coalesce("own", "variant")).alias("kind")), "cw-marked")
+    span = lambda lo, hi, similarity: F.struct((F.col("at") + F.col(lo)).cast("int").alias("start"), (F.col("at") + F.col(hi)).cast("int").alias("end"), similarity.alias("similarity"), "kind")
+    spans = F.filter(F.array(F.when(F.col("same"), span("lo", "hi", F.lit(1.0))), F.when(F.col("run_lo").isNotNull(), span("run_lo", "run_hi", F.lit(1.0))), F.when(F.col("similarity").isNotNull(), span("near_lo", "near_hi", F.col("similarity")))), lambda x: x.isNotNull())
+    each = marked.where("same or run_lo is not null or similarity is not null").groupBy("t").agg(F.flatten(F.collect_set(spans)).alias("spans"))
+    found_in = stage(each.mapInArrow(partial(_passages, k=k, slack=int(least * (100 - percent) / (100 + percent))), "t long, start_word long, end_word long, similarity double, kinds array<long>"), "cw-passages")
+    edges = found_in.select(F.col("kinds")[0].alias("a"), F.explode("kinds").alias("b")).distinct()
+    edges = edges.unionByName(marks.where("own <> other").select(F.xxhash64("signature", "own").alias("a"), F.xxhash64("signature", "other").alias("b")))
+    label = components(edges, "cw").withColumnRenamed("id", "kind")
+    listed = found_in.join(classes.select("t", F.col("id").alias("doc_id")), "t").withColumn("kind", F.col("kinds")[0]).join(label, "kind", "left")
+    listed = stage(listed.select("doc_id", "start_word", "end_word", "similarity", F.coalesce("component", "kind").alias("component")), "cw-listed")
+    heads = listed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("other_doc_id"), F.col("start_word").alias("other_start_word"), F.col("end_word").alias("other_end_word"))).alias("head"))
+    near = listed.join(heads, "component").select("doc_id", "start_word", "end_word", "head.*", "similarity").where("doc_id <> other_doc_id").distinct()
     copies = keyed.join(classes.hint("merge"), "t").where("doc_id <> id").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("id").alias("other_doc_id"), F.lit(0).cast("long").alias("other_start_word"), F.col("n").alias("other_end_word"), F.lit(1.0).alias("similarity"))
     return near.unionByName(copies.distinct())
