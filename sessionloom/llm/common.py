@@ -9,14 +9,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset and the session runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "sessionloom-stages")
     return folder
 
@@ -28,6 +30,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: list[str], *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores after it as it takes to differ from all ``taken`` ones (in any case)."""
+    taken = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def columns(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters are in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver collect its garbage, upon which Spark removes the shuffle files of steps that are finished and no longer referred to."""
     gc.collect()

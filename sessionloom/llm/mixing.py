@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import columns, stage, unused
 
 SIDES = ("source", "lang", "topic")
 # Topics by the first pattern found in a text.
@@ -120,14 +120,19 @@ def gaps(cells_p: DataFrame) -> DataFrame:
     return long.groupBy("side", "value").agg(F.max("target").alias("target"), F.sum("share").alias("expected"))
 
 
-def mix(documents: DataFrame, fraction: float = 0.5, power: float = 0.5, sweeps: int = 12, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The sampled documents (all their columns) with topic, tokens, weight and probability as _topic, _tokens, _weight, _p.
+def mix(documents: DataFrame, fraction: float = 0.5, power: float = 0.5, sweeps: int = 12, targets: dict[str, dict[str, float]] | None = None, names: tuple[str, ...] = ("_topic", "_tokens", "_weight", "_p")) -> DataFrame:
+    """The sampled documents (all their columns) with topic, tokens, weight and probability as _topic, _tokens, _weight, _p; ``names`` are
+    the four new columns' names, for tables that have such columns already.
 
     A document is kept if its id's uniform number is below its cell's probability: repeated rows share their fate, documents
-    without words are kept, an empty table stays empty. ``targets`` are weights by side and value (see :func:`with_targets`);
+    without words (null and empty texts) are kept, texts may be of any length, nulls in source or lang are a value of their own, an empty
+    table stays empty. ``targets`` are weights by side and value (see :func:`with_targets`);
     ``fraction`` is the most that is kept (see :func:`bounded`). The cell table has one row for each source, language and topic.
     """
-    named = documents.withColumns({"_source": F.coalesce("source", F.lit(NONE)), "_lang": F.coalesce("lang", F.lit(NONE)), "_topic": topic_of(F.col("text")), "_tokens": tokens_of(F.col("text"))})
+    topic, tokens, weight, probability = names
+    source, lang = unused([*documents.columns, *names], "_source", "_lang")
+    named = documents.withColumns({source: F.coalesce("source", F.lit(NONE)), lang: F.coalesce("lang", F.lit(NONE)), topic: topic_of(F.col("text")), tokens: tokens_of(F.col("text"))})
     p = bounded(rake(stage(cells(documents), "mix-cells"), power, sweeps, targets=targets), fraction, power, targets)
-    p = stage(p, "mix-cells-p").select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("w").alias("_weight"), F.col("p").alias("_p"))
-    return named.join(p, ["_source", "_lang", "_topic"]).where(uniform(F.col("doc_id")) < F.col("_p")).drop("_source", "_lang")
+    p = stage(p, "mix-cells-p").select(F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("w").alias(weight), F.col("p").alias(probability))
+    kept = named.join(p, [source, lang, topic]).where(uniform(F.col("doc_id")) < F.col(probability))
+    return kept.select(*columns([*documents.columns, *names]))

@@ -34,12 +34,12 @@ def test_addresses_do_not_collide():
 def test_replace_rows(spark):
     rows = [(1, TEXT), (2, None), (3, ""), (4, "clean words only " * 2000), (1, TEXT), (None, TEXT)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' as kinds_", "5 as n")
-    out = pii.replace(df, keep=("doc_id", "n"))
+    out = pii.replace(df, "k", keep=("doc_id", "n"))
     got = sorted(out.collect(), key=lambda r: (r.doc_id or 0, r.text or ""))
     assert len(got) == 6 and got[0].text == got[1].text == got[2].text != TEXT
     assert [(r.text, r.n_entities) for r in got[3:]] == [(None, 0), ("", 0), (rows[3][1], 0)]
     assert pii.collisions(out).count() == 0
-    assert pii.replace(df.limit(0)).count() == 0
+    assert pii.replace(df.limit(0), "k").count() == 0
 
 
 @pytest.mark.parametrize("only", ["+45 12 34 56 78", "+47 22-33-44-55", "41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1", "DE12 ABCD EFGH IJKL", "10.2.3.4", "a@b.de", "pwd=abcdefgh", "Sra. Ida"])
