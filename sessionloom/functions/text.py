@@ -34,9 +34,9 @@ def squeeze(q: Column) -> Column:
 
 def strip_url(q: Column) -> Column:
     out = norm(q)
-    for part in (".com", "www.", "http_", "http://", "https://"):
+    for part in (".com", "www.", "http_", "http://", "https://"):  # fixed values, in this order
         out = F.replace(out, F.lit(part), F.lit(""))
-    return out
+    return F.trim(out)
 
 
 def initials(words: Column) -> Column:
@@ -136,3 +136,9 @@ def word_grams(q: Column, stop: list[str]) -> Column:
 
 def position_bucket(n: Column) -> Column:
     return F.when(n == 1, "1 (Singleton)").when(n == 2, "2").when(n == 3, "3").when(n <= 5, "4-5").when(n <= 10, "6-10").otherwise("11+")
+
+
+def time_text(ts: Column, seconds: bool = True) -> Column:
+    """Epoch seconds as UTC text, to the second or to the minute."""
+    text = F.date_format(F.timestamp_seconds(ts.cast("bigint")), "yyyy-MM-dd HH:mm:ss")
+    return text if seconds else F.substring(text, 1, 16)

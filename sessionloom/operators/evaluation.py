@@ -40,6 +40,12 @@ def aligned(methods: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """in_a, in_both, only_a, only_b: events of two methods that have a partner and those skipped by a comparison."""
+    one, two = (x.select("search_id").distinct().withColumn(c, F.lit(1)) for x, c in ((a, "a"), (b, "b")))
+    return one.join(two, "search_id", "full").agg(F.count("a").alias("in_a"), F.count(F.col("a") + F.col("b")).alias("in_both"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
+
+
 def agreement(methods: DataFrame, a: str, b: str) -> DataFrame:
     """pairs of neighbours within a user's day, agreeing ones, and how often each method splits."""
     mine = Window.partitionBy("uid", "day").orderBy("ts", "ord")

@@ -68,3 +68,20 @@ def recurrence(bots: DataFrame, top: int = 10) -> DataFrame:
     median = per.agg(F.median("n").alias("median"))
     out = t.agg(F.sum("users").alias("users"), (F.sum(F.col("n") * F.col("users")) / F.sum("users")).alias("mean"), at(0.10).alias("p90"), at(0.01).alias("p99"), F.max("n").alias("most"), (F.sum(F.when(F.col("n") >= 2, F.col("users")).otherwise(0)) / F.sum("users")).alias("share_two"), (best / F.sum(F.col("n") * F.col("users"))).alias("share_top"))
     return out.crossJoin(F.broadcast(median))  # one row each
+
+
+def summary_totals(summaries: DataFrame) -> DataFrame:
+    """uids, queries, mean, median and most queries and minutes of users' summaries (n_queries, dauer_min)."""
+    n, m = F.col("n_queries"), F.col("dauer_min")
+    return summaries.agg(
+        F.count(F.lit(1)).alias("uids"), F.sum(n).alias("queries"), F.avg(n).alias("mean_queries"), F.expr("percentile(n_queries, 0.5)").alias("median_queries"), F.max(n).alias("most_queries"),
+        F.avg(m).alias("mean_min"), F.expr("percentile(dauer_min, 0.5)").alias("median_min"), F.max(m).alias("most_min"),
+    )
+
+
+def top_regular(timed: DataFrame, bots: DataFrame, top: int = 10) -> DataFrame:
+    """kind (pure: regular sessions only; shared), uid, bot_sessions, k: the ``top`` users of each kind."""
+    of = timed.join(bots.select("session_id", F.lit(1).alias("bot")), "session_id", "left").groupBy("uid").agg(F.count("bot").alias("bot_sessions"), F.count(F.lit(1)).alias("n")).where("bot_sessions > 0")
+    kind = F.when(F.col("bot_sessions") == F.col("n"), "pure").otherwise("shared")
+    k = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("bot_sessions"), "uid"))
+    return of.withColumn("kind", kind).withColumn("k", k).where(F.col("k") <= top).select("kind", "uid", "bot_sessions", "k")

@@ -69,16 +69,22 @@ def inverted_index(documents: DataFrame, docno: str, text: str, stop: list[str]
 
 
 def retrieve(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], topn: int = 1000, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, docno, score, rank: BM25 (non-negative idf) of distinct queries; the best ``topn`` of each, ties by docno."""
+    """query, docno, score, rank: BM25 (non-negative idf) of distinct queries; the best ``topn`` of each, ties by docno.
+
+    Postings meet the lengths first, so they lie by document when the queries' terms join them and each document's sums need no
+    further shuffle where those are few; queries go by number, their texts come back with the results.
+    """
     postings, docs, terms = index
     totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query").distinct().select("query", F.explode(index_terms(F.col("query"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    named = queries.select("query").where("query is not null").distinct().withColumn("qid", F.xxhash64("query"))
+    asked = named.select("qid", F.explode(index_terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = terms.crossJoin(F.broadcast(totals)).select("term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # totals: one row
-    hits = asked.join(weighted, "term").join(postings, "term").join(docs, "docno")
+    hits = postings.join(docs, "docno").join(asked.join(weighted, "term"), "term")
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query", "docno").agg(F.sum(score).alias("score"))
-    mine = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "docno")  # sums of floats in any order tie alike
-    return scored.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= topn)
+    scored = hits.groupBy("qid", "docno").agg(F.sum(score).alias("score"))
+    mine = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "docno")  # sums of floats in any order tie alike
+    best = scored.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= topn)
+    return best.join(named, "qid").select("query", "docno", "score", "rank")
 
 
 def concept_vectors(retrieved: DataFrame, topn: int | None = None) -> DataFrame:

@@ -83,9 +83,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship_session_lengths(spark, sf_dir)
 
 
-@register(f"with {LOG}, {BURST} select l.search_id, l.uid, l.ts from log l join b using (search_id)")
+@register(f"with {LOG}, half as (select * replace (case when ord % 3 < 2 then ts - ts % 43200 else ts end as ts) from log where type is null), b as (select uid, ts from half group by 1, 2 having count(*) < 2) select search_id, uid, ts from half join b using (uid, ts)")
 def r9_drop_bursts(spark, sf):
-    return sessions.drop_bursts(queries_of(search_log(spark, sf))).select("search_id", "uid", "ts")
+    """R9, W4; two of three events are moved to the start of their half-day, as the tables hold no bursts."""
+    ts = F.when(F.col("ord") % 3 < 2, F.col("ts") - F.col("ts") % 43_200).otherwise(F.col("ts"))
+    return sessions.drop_bursts(queries_of(search_log(spark, sf)).withColumn("ts", ts)).select("search_id", "uid", "ts")
 
 
 @register(f"with {LOG} select search_id, concat(uid, '|', day) grp from q0")
@@ -189,10 +191,11 @@ def a10_split_factor(spark, sf):
     return evaluation.split_factor(_lexical(spark, sf))
 
 
-@register(f"with {GAP}, g as (select session_id, count(*) n from gap group by 1) select cast(sum(n) as bigint) events, count(*) sessions, cast(sum(n) as bigint)-count(*) pairs, cast(0 as bigint) blank, count_if(n = 1) single from g")
+@register(f"with {GAP}, h as (select session_id, case when ord % 11 = 0 then '  ' when ord % 11 = 1 then null else query end query from gap), g as (select session_id, count(*) n, count_if(query is null or trim(query) = '') bl from h group by 1) select cast(sum(n) as bigint) events, count(*) sessions, cast(sum(n) as bigint)-count(*) pairs, cast(sum(bl) as bigint) blank, count_if(n = 1) single from g")
 def a19_pair_identity(spark, sf):
-    """A18, A19."""
-    return quality.pair_identity(_gap(spark, sf))
+    """A18, A19; blank and null queries are planted."""
+    k = F.col("ord") % 11
+    return quality.pair_identity(_gap(spark, sf).withColumn("query", F.when(k == 0, "  ").when(k == 1, F.lit(None).cast("string")).otherwise(F.col("query"))))
 
 
 @register(f"with {LOG} select uid, count(distinct day) as days, count(*) n from q0 group by 1")
@@ -263,7 +266,7 @@ def _classify(a: str, b: str) -> str:
     t1, t2 = TOK.format(a), TOK.format(b)
     n1, n2 = f"trim(lower({a}))", f"trim(lower({b}))"
     sq = lambda c: f"regexp_replace(lower({c}), '[\\s''\\-.]', '', 'g')"
-    url = lambda c: f"replace(replace(replace(replace(replace(trim(lower({c})), '.com', ''), 'www.', ''), 'http_', ''), 'http://', ''), 'https://', '')"
+    url = lambda c: f"trim(replace(replace(replace(replace(replace(trim(lower({c})), '.com', ''), 'www.', ''), 'http_', ''), 'http://', ''), 'https://', ''))"
     within = lambda x, y: f"len(list_filter({x}, lambda w: len(list_filter({x}, lambda v: v = w)) > len(list_filter({y}, lambda v: v = w)))) = 0"
     init = lambda x: f"array_to_string(list_transform({x}, lambda w: w[1]), '')"
     return f"""case when {n1} = {n2} then 'Identical' when len({t1}) = 0 or len({t2}) = 0 then 'New' when {t1} <> {t2} and list_sort({t1}) = list_sort({t2}) then 'Word Reorder'
@@ -343,9 +346,11 @@ def a24_matched(spark, sf):
     return interactions.matched(interactions.latest_query_key(log), queries_of(log))
 
 
-@register(f"with {_DW} select type, count(*) total, cast(0 as bigint) undefined, count(merge_key) as real, count_if(merge_key is null) as empty from dw group by rollup(type)")
+@register(f"with {_DW}, mk2 as (select type, case ord % 7 when 0 then 'undefined' when 1 then ' ' when 2 then null else merge_key end mk from dw) select type, count(*) total, count_if(trim(mk) = 'undefined') undefined, count_if(trim(mk) not in ('', 'undefined')) as real, count_if(mk is null or trim(mk) = '') as empty from mk2 group by rollup(type)")
 def a25_key_status(spark, sf):
-    return interactions.key_status(interactions.latest_query_key(search_log(spark, sf)))
+    """A25; undefined, blank and null keys are planted."""
+    keyed, k = interactions.latest_query_key(search_log(spark, sf)), F.col("ord") % 7
+    return interactions.key_status(keyed.withColumn("merge_key", F.when(k == 0, "undefined").when(k == 1, " ").when(k != 2, F.col("merge_key"))))
 
 
 _ATT = "coalesce(bool_or(type = '{0}' and plausible = {1}), false)"
@@ -355,18 +360,27 @@ _NAMES = [f"{k.replace('-', '_')}_{'long' if p else 'short'}" for p in (1, 0) fo
 
 @register(
     f"with {_VARIED}, {_DW.replace(LOG + ', ', '')}, per as (select merge_key k, {_FLAGS} from dw group by 1) select strategy, count(*) pairs, "
-    + ", ".join(f"100.0*count_if({n})/count(*)::double pct_{n}" for n in _NAMES)
-    + f", 100.0*count_if({' or '.join(n for n in _NAMES if n.endswith('_long'))})/count(*)::double pct_any_long, 100.0*count_if({' or '.join(n for n in _NAMES if n.endswith('_short'))})/count(*)::double pct_any_short from lb left join per on k = search_id group by 1"
+    + ", ".join(f"100.0*count_if(coalesce({n}, false))/count(*)::double pct_{n}" for n in _NAMES)
+    + f", 100.0*count_if({' or '.join(f'coalesce({n}, false)' for n in _NAMES if n.endswith('_long'))})/count(*)::double pct_any_long, 100.0*count_if({' or '.join(f'coalesce({n}, false)' for n in _NAMES if n.endswith('_short'))})/count(*)::double pct_any_short from lb left join per on k = search_id group by 1"
 )
 def a23_attribution(spark, sf):
     return interactions.attribution(reformulation.labelled(_varied(spark, sf)), _dwell(spark, sf))
 
 
-@register(f"with {LOG}, k as (select distinct split_part(trackId, '-', 1) mk from log where type = 'works') select count(*) as keys, count(search_id) found, cast(0 as bigint) uid_empty, count(search_id) uid_filled from k left join log on search_id = mk")
+@register(f"with {LOG}, part_log as (select search_id, case when ord % 3 = 0 then ' ' when ord % 5 = 0 then null else uid end uid from log where ord % 4 > 0), k as (select distinct split_part(trackId, '-', 1) mk from log where type = 'works') select count(*) as keys, count(search_id) found, count_if(search_id is not null and coalesce(trim(uid), '') = '') uid_empty, count_if(trim(uid) <> '') uid_filled from k left join part_log on search_id = mk")
 def a26_key_coverage(spark, sf):
-    """J4, A26, X-s17."""
+    """J4, A26, X-s17; the log searched lacks every fourth row and some uids."""
     log = search_log(spark, sf)
-    return interactions.key_coverage(interactions.extract(log), log, kind="works")
+    partial = log.where("ord % 4 > 0").withColumn("uid", F.when(F.col("ord") % 3 == 0, " ").when(F.col("ord") % 5 != 0, F.col("uid")))
+    return interactions.key_coverage(interactions.extract(log), partial, kind="works")
+
+
+@register(f"with {LOG}, k as (select distinct split_part(trackId, '-', 1) search_id from log where type in ('works', 'author')), st as (select 'raw' stage, search_id from log union all select 'cleaned', search_id from log where ord % 4 > 0 union all select 'sessions', search_id from log where ord % 8 > 3) select stage, count(distinct k.search_id) found from (select distinct stage from st) left join st using (stage) left join k using (search_id) group by 1")
+def j4_stage_coverage(spark, sf):
+    """Keys of interactions still present after each of three stages."""
+    log = search_log(spark, sf)
+    keys = interactions.extract(log).withColumn("type", F.lit("any"))
+    return interactions.stage_coverage(keys, {"raw": log, "cleaned": log.where("ord % 4 > 0"), "sessions": log.where("ord % 8 > 3")}, kind="any")
 
 
 @register(f"with {LOG} select ts, uid, type, trackId, split_part(trackId, '-', 1) merge_key from log where type is not null")
@@ -377,7 +391,7 @@ def f21_extract_interactions(spark, sf):
 
 # ---------------------------------------------------------------- known items
 
-_KI = f"{_VARIED}, ti as (select distinct trim(regexp_replace(lower(p_name), '[\\W_]+', ' ', 'g')) t from part where p_partkey % 16 = 0), hq as (select gap.*, ti.t is not null hit from gap left join ti on ti.t = trim(regexp_replace(lower(query), '[\\W_]+', ' ', 'g')))"
+_KI = f"{_VARIED}, ti as (select distinct trim(regexp_replace(lower(p_name), '[\\W_]+', ' ', 'g')) t from part), hq as (select gap.*, ti.t is not null hit from gap left join ti on ti.t = trim(regexp_replace(lower(query), '[\\W_]+', ' ', 'g')))"
 
 
 @register(f"with {_KI}, rf as (select session_id, count_if(strategy in ('Add Words','Remove Words','Word Substitution','Substring','Superstring')) r from lb group by 1), g as (select session_id, count(*) n, bool_or(hit) hit from hq group by 1), c as (select case when hit then 'Known-Item' when n = 1 then 'Einzelquery (ohne Titel)' when n >= 4 then 'Exploratory' when n <= 3 and coalesce(r,0) = 0 then 'Known-Item' else 'Unscharf' end klass, hit, coalesce(r,0) r from g left join rf using (session_id)) select klass, case when klass = 'Exploratory' then case when r >= 1 then 'refining' else 'plain' end when klass = 'Known-Item' then case when hit then 'title' else 'short' end end sub, count(*) n from c group by 1, 2")
@@ -483,9 +497,12 @@ def a28_event_kinds(spark, sf):
     return quality.event_kinds(search_log(spark, sf))
 
 
-@register(f"with {LOG} select count(*) queries, count(*) complete, cast(0 as bigint) incomplete from log where type is null")
+@register(f"with {LOG}, l2 as (select * replace (case when ord % 5 = 0 then null when ord % 7 = 0 then '' else date end as date, case when ord % 9 = 0 then '' else search_id end as search_id) from log), q as (select coalesce(date <> '', false) and coalesce(search_id <> '', false) ok from l2 where type is null and query <> '') select count(*) queries, count_if(ok) complete, count_if(not ok) incomplete from q")
 def a29_completeness(spark, sf):
-    return quality.completeness(search_log(spark, sf))
+    """A29; null and empty dates and search ids are planted."""
+    k = F.col("ord")
+    log = search_log(spark, sf).withColumn("date", F.when(k % 5 != 0, F.when(k % 7 == 0, "").otherwise(F.col("date")))).withColumn("search_id", F.when(k % 9 == 0, "").otherwise(F.col("search_id")))
+    return quality.completeness(log)
 
 
 @register(f"with {LOG} select cast(min(ts) as double) as first, cast(max(ts) as double) as last, min(date) first_text, max(date) last_text from log")
@@ -515,23 +532,171 @@ def _retrieved(spark, sf, topn):
     return vectors.retrieve(asked, vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text", asked=asked), topn)
 
 
-@register(f"with {_INDEX} select query, docno, round(score, 6) score, rank from rk where rank <= 20")
+@register(f"with {_INDEX} select query, docno, round(score, 6) score, rank from rk where rank <= 1000")
 def j12_bm25(spark, sf):
     """V6, V4, J12, T4."""
-    return _rows(_retrieved(spark, sf, 20), score=6).withColumn("rank", F.col("rank").cast("bigint"))
+    return _rows(_retrieved(spark, sf, 1000), score=6).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@register(f"with {_INDEX}, v as (select query, docno, score/sqrt(sum(score*score) over (partition by query)) w from rk where rank <= 100) select a.query q1, b.query q2, round(sum(a.w*b.w), 6) cosine from v a join v b using (docno) where a.query < b.query group by 1, 2")
+@register(f"with {_INDEX}, v as (select query, docno, score/sqrt(sum(score*score) over (partition by query)) w from rk where rank <= 1000) select a.query q1, b.query q2, round(sum(a.w*b.w), 6) cosine from v a join v b using (docno) where a.query < b.query group by 1, 2")
 def v5_concept_cosine(spark, sf):
     """Cosines of all pairs of benchmark texts that share a document."""
-    v = vectors.concept_vectors(_retrieved(spark, sf, 100))
+    v = vectors.concept_vectors(_retrieved(spark, sf, 1000))
     a, b = v.select(F.col("query").alias("q1"), "term", F.col("weight").alias("w1")), v.select(F.col("query").alias("q2"), "term", F.col("weight").alias("w2"))
     return _rows(a.join(b, "term").where("q1 < q2").groupBy("q1", "q2").agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")), cosine=6)
 
 
-@register()
-def r4_cascade_with_concepts(spark, sf):
-    """R4 with s3 over the documents' index (A15's input), the best 1000 documents a query; checked in tests by brute force."""
+_CONCEPTS = f"""{LOG}, {PREV}, {_cos('cc', _CHARGRAMS)}, {_INDEX.replace("(select distinct text query from benchmark)", "(select distinct query from q0)")}, v as (select query, docno, score/sqrt(sum(score*score) over (partition by query)) w from rk where rank <= 1000),
+ ec as (select q1, q2, sum(a.w*b.w) e from cc_p join v a on a.query = q1 join v b on b.query = q2 and a.docno = b.docno group by 1, 2),
+ cas as (select n.*, coalesce(ec.e, 0) e, case when p_ts is null then 'grp' when ts-p_ts > 5400 then 'gap' when {_same("p_q", "query")} then 's1' when coalesce(cos,0) >= 0.3 then 's2' when coalesce(ec.e, 0) >= 0.15 then 's3'
+ when {_jac('p_s', 'serp')} >= 0.1 then 's4' else 'boundary' end stage from n left join cc on cc.q1 = p_q and cc.q2 = query left join ec on ec.q1 = p_q and ec.q2 = query)"""
+_PART_CONCEPTS = _CONCEPTS.replace("cast(doc_id as varchar)", "cast(p_partkey as varchar)").replace("(text, '[^0-9a-zA-Z]+'", "(concat(p_name, ' ', p_type, ' ', p_brand), '[^0-9a-zA-Z]+'").replace("from documents", "from part")
+_CONCEPTS = _CONCEPTS.replace("coalesce(ec.e, 0) >= 0.15", "coalesce(ec.e, 0) >= 0.3")
+_ESA = "case when stage in ('s3', 's4', 'boundary') then e end"
+
+
+def _concept_cascade(spark, sf, articles: DataFrame, least: float = 0.30):
     q = queries_of(search_log(spark, sf))
-    index = vectors.inverted_index(table(spark, sf, "documents"), "doc_id", "text", asked=q)
-    return sessions.cascade(q, vectors.concept_vectors(vectors.retrieve(q, index))).select("search_id", "session_id", "stage", "esa_cos")
+    return sessions.cascade(q, vectors.concept_vectors(vectors.retrieve(q, vectors.inverted_index(articles, "id", "text", asked=q))), least_concept=least)
+
+
+def _part_cascade(spark, sf):
+    """The parts' names, types and brands stand in for the concepts' articles, as the queries are names of parts; s3 starts at 0.15 as they are short."""
+    return _concept_cascade(spark, sf, table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")), least=0.15)
+
+
+@register(f"with {_CONCEPTS}{_CASID} select search_id, session_id, stage, round({_ESA}, 6) esa_cos from cid")
+def r4_cascade_with_concepts(spark, sf):
+    """R4 with s3 over the documents' index, the best 1000 documents a query."""
+    articles = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _rows(_concept_cascade(spark, sf, articles).select("search_id", "session_id", "stage", "esa_cos"), esa_cos=6)
+
+
+@register(f"with {_PART_CONCEPTS}{_CASID} select search_id, session_id, stage, round({_ESA}, 6) esa_cos from cid")
+def r4_cascade_with_part_concepts(spark, sf):
+    """R4 with an s3 that fires."""
+    return _rows(_part_cascade(spark, sf).select("search_id", "session_id", "stage", "esa_cos"), esa_cos=6)
+
+
+@register(
+    f"with {_PART_CONCEPTS}, e as (select {_ESA} c from cas) select count(c) n, round(avg(c), 6) mean, "
+    + ", ".join(f"round(quantile_cont(c, 0.{q}), 6) p{q}" for q in (50, 75, 90, 95, 99))
+    + ", round(max(c), 6) longest, "
+    + ", ".join(f"count_if(c >= 0.{a:02d}) from_{a}" for a in (2, 5, 10, 20))
+    + " from e where c is not null"
+)
+def a15_concept_distribution(spark, sf):
+    """A15."""
+    return _rows(evaluation.concept_distribution(_part_cascade(spark, sf)), **dict.fromkeys(("mean", "p50", "p75", "p90", "p95", "p99", "longest"), 6))
+
+
+@register(f"with {_PART_CONCEPTS}, e as (select *, {_ESA} c from cas), b as (select *, case when c >= 0.005 and c < 0.02 then '0.005-0.02' when c < 0.05 and c >= 0.02 then '0.02-0.05' when c >= 0.05 and c < 0.1 then '0.05-0.1' when c >= 0.1 and c < 0.2 then '0.1-0.2' when c >= 0.2 and c < 0.5 then '0.2-0.5' when c >= 0.5 and c < 1.01 then '0.5-1.01' end band from e) select band, search_id, idx from (select band, search_id, row_number() over (partition by band order by md5(concat('42|', search_id)), search_id) idx from b where band is not null) where idx <= 10")
+def t10_concept_bands(spark, sf):
+    """A seeded sample of the pairs in each band of the concept cosine."""
+    banded = _part_cascade(spark, sf).withColumn("band", evaluation.concept_band(F.col("esa_cos")))
+    return reformulation.stratified_sample(banded, by="band", each=10).select("band", "search_id", F.col("idx").cast("bigint").alias("idx"))
+
+
+# ---------------------------------------------------------------- further reports
+
+
+@register(f"with {GAP}, lx as (select search_id s, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 5400 and {_same('p_q', 'query')} then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) o from n), g as (select session_id, count(*) size, count(distinct uid) uids, count(distinct o) parts, count_if(o is null) dropped from gap left join lx on s = search_id group by 1 having count(*) >= 4) select session_id, size, uids, parts, dropped from g where size between 5 and 20 order by parts desc, uids desc, size, session_id limit 1")
+def t9_breakup_example(spark, sf):
+    """T9."""
+    return evaluation.breakup_example(evaluation.breakup(_gap(spark, sf), _lexical(spark, sf)))
+
+
+@register(f"with {_BOTS} select case when std_gap_s = 0 then '0' when std_gap_s <= 0.5 then '<=0.5' when std_gap_s <= 1 then '<=1' else '<=2' end bucket, count(*) n from bots group by 1")
+def a5_std_buckets(spark, sf):
+    return quality.std_buckets(_bots(spark, sf)[1])
+
+
+_PLANTED = _VARIED.replace("lag(query) over (partition by session_id order by ts, ord) pq from gap", "lag(query) over (partition by session_id order by ts, ord) pq from (select * replace (case when ord % 9 = 0 then 'year>=1999 AND (x)' else query end as query) from gap)")
+_STRUCT = "regexp_matches({0}, '(?i)yearPublished|(<=|>=|<|>)\\s*\\d|\\bAND\\s*\\(|\\bOR\\s*\\(')"
+_RESET = f"with {_PLANTED}, ls as (select session_id, ts, ord, case when {_STRUCT.format('pq')} or {_STRUCT.format('query')} then null else strategy end strategy from lb), st as (select strategy label_to, lag(strategy) over (partition by session_id order by ts, ord) label_from from ls), mx as (select label_from, label_to, count(*) n, count(*)/sum(count(*)) over (partition by label_from)::double p from st where label_from is not null and label_to is not null group by 1, 2)"
+
+
+def _reset(spark, sf):
+    planted = _varied(spark, sf).withColumn("query", F.when(F.col("ord") % 9 == 0, "year>=1999 AND (x)").otherwise(F.col("query")))
+    return reformulation.transitions(reformulation.labelled(planted, drop_structured=True))
+
+
+@register(f"{_RESET} select label_from, label_to, n, round(p, 9) p from mx")
+def a22_transitions_reset(spark, sf):
+    """A pair with a structured query, planted here, has no label and breaks the chain."""
+    return _rows(_reset(spark, sf), p=9)
+
+
+@register(f"{_RESET}, k as (select *, sum(n) over (partition by label_from) total, row_number() over (partition by label_from order by n desc, label_to) k from mx) select label_from, label_to, n, round(p, 9) p, k from k where total >= 50 and k <= 3")
+def a22_top_transitions(spark, sf):
+    return _rows(reformulation.top_transitions(_reset(spark, sf)), p=9).withColumn("k", F.col("k").cast("bigint"))
+
+
+_RELATED = "rel as (select distinct split_part(a.p_name, ' ', 1) w1, split_part(b.p_name, ' ', 1) w2 from part a join part b on b.p_partkey = a.p_partkey + 1 where a.p_partkey % 2 = 0), both_ways as (select w1, w2 from rel union select w2, w1 from rel)"
+
+
+@register(
+    f"with {_VARIED}, {_RELATED}, w as (select distinct pq, query, unnest(range(1, len({TOK.format('pq')})+1)) i from lb where len({TOK.format('pq')}) = len({TOK.format('query')})),"
+    f" r as (select pq, query, bool_and({TOK.format('pq')}[i] = {TOK.format('query')}[i] or exists (select 1 from both_ways b where b.w1 = {TOK.format('pq')}[i] and b.w2 = {TOK.format('query')}[i])) ok from w group by 1, 2)"
+    " select search_id, case when strategy in ('Spelling Correction', 'New') and coalesce(ok, false) then 'Word Substitution' else strategy end strategy from lb left join r using (pq, query)"
+)
+def reformulation_substitution(spark, sf):
+    """The rule of related words; neighbouring parts' first words stand in for the table of them."""
+    part = table(spark, sf, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w"))
+    one, two = part.where("p_partkey % 2 = 0").select("p_partkey", F.col("w").alias("w1")), part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("w").alias("w2"))
+    return reformulation.labelled(_varied(spark, sf), related=one.join(two, "p_partkey").select("w1", "w2").distinct()).select("search_id", "strategy")
+
+
+
+
+@register()
+def reformulation_stemming(spark, sf):
+    """The rule of equal stems, with plurals planted; tested against a stemmer of its own in tests."""
+    one, two = F.split_part("query", F.lit(" "), F.lit(1)), F.split_part("query", F.lit(" "), F.lit(2))
+    log = search_log(spark, sf)
+    log = log.withColumn("query", F.when(F.col("ord") % 3 == 0, F.concat("query", F.lit("s"))).when(F.col("ord") % 3 == 1, F.concat_ws(" ", two, one)).otherwise(F.col("query")))
+    return reformulation.labelled(sessions.gap_sessions(queries_of(log), most_gap=86_400), stemming=True).select("search_id", "q_prev", "q_curr", "strategy")
+
+
+@register("select concat('q', quality) strategie, concat('t', toxic) richtig, count(*) n from labels where toxic = 0 and doc_id % 3 > 0 group by 1, 2 order by n desc, 1, 2 limit 15")
+def a34_confusions(spark, sf):
+    """Marked as wrong, with the class that would be right; blank ones do not count."""
+    sheet = table(spark, sf, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("strategie"), F.col("toxic").cast("string").alias("korrekt"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" t"), F.col("toxic").cast("string"))).otherwise(" ").alias("richtige_klasse_falls_falsch"))
+    return reformulation.confusions(sheet)
+
+
+@register(f"with {LOG} select search_id, type from log where type in ('author')")
+def f5_keep_types(spark, sf):
+    """interactions of the listed types alone."""
+    return cleaning.keep_types(search_log(spark, sf), types=("author", "get-pdf")).select("search_id", "type")
+
+
+@register(f"with {LOG}, s as (select * from q0 order by md5(concat('42|', search_id)), search_id limit 500) select search_id, query from s")
+def t7_sampled_rows(spark, sf):
+    """A seeded sample of rows."""
+    return reformulation.sample_rows(queries_of(search_log(spark, sf)), "search_id", 500).select("search_id", "query")
+
+
+@register(f"with {LOG} select search_id, strftime(to_timestamp(ts) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') at_second, strftime(to_timestamp(ts) at time zone 'UTC', '%Y-%m-%d %H:%M') at_minute from log")
+def x_time_texts(spark, sf):
+    """X-s4."""
+    return search_log(spark, sf).select("search_id", T.time_text(F.col("ts")).alias("at_second"), T.time_text(F.col("ts"), seconds=False).alias("at_minute"))
+
+
+@register(f"with {LOG}, g as (select uid, count(*) n from q0 group by 1), s as (select uid, (max(ts)-min(ts))/60.0::double m from q0 group by 1) select count(*) uids, cast(sum(n) as bigint) queries, round(avg(n), 6) mean_queries, quantile_cont(n, 0.5) median_queries, max(n) most_queries, round(avg(m), 6) mean_min, round(quantile_cont(m, 0.5), 6) median_min, round(max(m), 6) most_min from g join s using (uid)")
+def a2_uid_totals(spark, sf):
+    """A2: totals over the summaries of users."""
+    return _rows(quality.summary_totals(sessions.uid_summary(queries_of(search_log(spark, sf)))), mean_queries=6, mean_min=6, median_min=6, most_min=6)
+
+
+@register(f"with {_BOTS}, u as (select tm.uid, count(*) n, count(bots.session_id) b from tm left join bots using (session_id) group by 1), k as (select uid, b, case when b = n then 'pure' else 'shared' end kind from u where b > 0) select kind, uid, b bot_sessions, k from (select *, row_number() over (partition by kind order by b desc, uid) k from k) where k <= 10")
+def a6_top_uids(spark, sf):
+    """The users with most regular sessions, among those with no others and those with others too."""
+    return quality.top_regular(*_bots(spark, sf)).withColumn("k", F.col("k").cast("bigint"))
+
+
+@register(f"with {LEXICAL}, gp as (select search_id s, concat(uid,'|',day,'|',cast(sum(case when p_ts is not null and ts-p_ts <= 86400 then 0 else 1 end) over (partition by uid, day order by ts, ord rows unbounded preceding) as bigint)) o from n where ord % 7 > 0) select count(*) as in_a, count(s) in_both, count_if(s is null) only_a, (select count(*) from gp) - count(s) only_b from lex left join gp on s = search_id")
+def j5_mismatches(spark, sf):
+    """Events that only one of two methods has; every seventh is left out of the second here."""
+    full = _gap(spark, sf).where("ord % 7 > 0")
+    return evaluation.mismatches(_lexical(spark, sf), full)

@@ -32,8 +32,8 @@ def queries_of(log: DataFrame) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with an even key stand in for titles of known documents."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 16 = 0")
+    """The names of all parts stand in for titles of known documents."""
+    part = table(spark, sf_dir, "part")
     return known_item.normalised_titles(known_item.title_index(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))))
 
 
