@@ -18,23 +18,36 @@ def extract(raw: DataFrame) -> DataFrame:
 
 
 def latest_query_key(events: DataFrame) -> DataFrame:
-    """merge_key of each interaction: the latest query of the same uid at or before it."""
-    order = Window.partitionBy("uid").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    key = F.last(F.when(F.col("type").isNull(), F.col("search_id")), ignorenulls=True).over(order)
-    return events.withColumn("merge_key", key).where("type is not null")
+    """merge_key of each interaction: the latest query of the same uid at or before it.
+
+    Windows run over one user's day; the last key of earlier days comes from a table of one row for each user and day, so a user
+    with very many events fills no task. Null uids are one user.
+    """
+    day = F.floor(F.col("ts") / 86_400)
+    keyed = events.withColumns({"_day": day, "_key": F.when(F.col("type").isNull(), F.col("search_id"))})
+    order = Window.partitionBy("uid", "_day").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    within = keyed.withColumn("_within", F.last("_key", ignorenulls=True).over(order)).where("type is not null")
+    days = keyed.groupBy(F.col("uid").alias("_uid"), F.col("_day").alias("_on")).agg(F.max(F.when(F.col("_key").isNotNull(), F.struct("ts", "ord", "_key"))).alias("_last"))
+    earlier = Window.partitionBy("_uid").orderBy("_on").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier)["_key"]).drop("_last").where("_before is not null")
+    joined = within.join(days, F.col("uid").eqNullSafe(F.col("_uid")) & (F.col("_day") == F.col("_on")), "left")
+    return joined.withColumn("merge_key", F.coalesce("_within", "_before")).select(*events.columns, "merge_key")
 
 
 def dwell(interactions: DataFrame, timeline: DataFrame, plausible_from: int = 30, exclude_blank_uid: bool = False) -> DataFrame:
     """Adds dwell, the seconds to the next, strictly later event of the same uid (-1: none), and plausible (1/0).
 
-    timeline: (uid, ts) of all events. Only users with interactions are read into the window.
+    timeline: (uid, ts) of all events. Only users with interactions are read into the windows, which run over one user's day; the next
+    day's first time comes from a table of one row for each user and day.
     """
     if exclude_blank_uid:
         interactions = interactions.where("uid is not null and trim(uid) <> ''")
     users = interactions.select("uid").distinct()
-    times = timeline.select("uid", "ts").join(users, "uid", "left_semi").distinct()
-    after = times.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("uid").orderBy("ts")))  # distinct times, so the next one is later
-    j = interactions.join(after, ["uid", "ts"], "left")
+    times = timeline.select("uid", "ts").join(users, "uid", "left_semi").distinct().withColumn("_day", F.floor(F.col("ts") / 86_400))
+    days = times.groupBy("uid", "_day").agg(F.min("ts").alias("_first"))
+    days = days.withColumn("_following", F.lead("_first").over(Window.partitionBy("uid").orderBy("_day"))).drop("_first")
+    after = times.withColumn("_next", F.lead("ts").over(Window.partitionBy("uid", "_day").orderBy("ts"))).join(days, ["uid", "_day"], "left")  # distinct times, so the next one is later
+    j = interactions.join(after.select("uid", "ts", F.coalesce("_next", "_following").alias("next_ts")), ["uid", "ts"], "left")
     gap = F.coalesce(F.col("next_ts") - F.col("ts"), F.lit(-1)).cast("bigint")
     return j.withColumn("dwell", gap).withColumn("plausible", F.when((gap < 0) | (gap >= plausible_from), 1).otherwise(0)).drop("next_ts")
 

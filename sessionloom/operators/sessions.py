@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import staged
 from . import cleaning, vectors
 
 
@@ -58,11 +59,10 @@ def lexical_sessions(df: DataFrame, most_gap: int = 5400) -> DataFrame:
 
 def multi_criteria(df: DataFrame, most_gap: int = 300, least_jaccard: float = 0.01, least_cosine: float = 0.10, stop: list[str] | None = None) -> DataFrame:
     """Same session if the gap is below ``most_gap`` and results and words overlap. Cosines are worked out only for the pairs that pass the two cheap tests."""
-    base = uid_day(df)
-    n = neighbours(base)
+    n = staged(neighbours(uid_day(df)), "neighbours")
     near = F.coalesce((F.col("gap") < most_gap) & (T.jaccard(F.col("prev_serp"), F.col("serp")) >= least_jaccard), F.lit(False))
     pairs = n.where(near).select(F.col("prev_query").alias("q1"), F.col("query").alias("q2")).distinct()
-    cos = vectors.pair_cosines(pairs, vectors.word_tfidf(base.select("query"), stop)).select(F.col("q1").alias("prev_query"), F.col("q2").alias("query"), "cosine")
+    cos = vectors.pair_cosines(pairs, vectors.word_tfidf(n.select("query"), stop)).select(F.col("q1").alias("prev_query"), F.col("q2").alias("query"), "cosine")
     joined = n.join(cos, ["prev_query", "query"], "left")
     return numbered(joined, ~(near & F.coalesce(F.col("cosine") >= least_cosine, F.lit(False))))
 
@@ -73,13 +73,12 @@ def cascade(df: DataFrame, concepts: DataFrame | None = None, most_gap: int = 54
     concepts: vectors (query, term, weight), without which s3 never fires. Each stage's join holds only the pairs that the cheaper stages
     left open; esa_cos is filled for those that reach s3.
     """
-    base = uid_day(df)
-    n = neighbours(base)
+    n = staged(neighbours(uid_day(df)), "neighbours")
     inside = F.coalesce(F.col("gap") <= most_gap, F.lit(False))
     same = F.coalesce(lexically_same(F.col("prev_query"), F.col("query")), F.lit(False))
     names = {"q1": "prev_query", "q2": "query"}
     open2 = n.where(inside & ~same).select(F.col("prev_query").alias("q1"), F.col("query").alias("q2")).distinct()
-    char = vectors.pair_cosines(open2, vectors.char_tfidf(base.select("query"))).withColumnsRenamed(names).withColumnRenamed("cosine", "char_cos")
+    char = vectors.pair_cosines(open2, vectors.char_tfidf(n.select("query"))).withColumnsRenamed(names).withColumnRenamed("cosine", "char_cos")
     j = n.join(char, ["prev_query", "query"], "left")
     if concepts is not None:
         open3 = char.where(F.col("char_cos") < least_char).select(F.col("prev_query").alias("q1"), F.col("query").alias("q2"))

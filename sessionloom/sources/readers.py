@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -22,15 +22,20 @@ def discover_fields(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_json_log(spark: SparkSession, paths: list[str], schema: S.StructType = RAW_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON-lines files with every field as text, and the lines that are no objects: (file, raw), cut to 300 characters.
+    """Rows of JSON-lines files with every field as text, and the lines that are no objects: (file, line, raw), raw cut to 300 characters.
 
-    Blank lines are skipped.
+    Blank lines are skipped but counted: ``line`` is the number in the file, from 1. It is the line's place in its block of the file plus the
+    lines of the blocks before, of which a table with one row for each block tells.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
-    checked = lines.withColumn("v", F.try_parse_json("value")).withColumn("fine", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    meta = F.col("_metadata")
+    every = spark.read.text(paths).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    checked = every.where("trim(value) <> ''").withColumn("v", F.try_parse_json("value")).withColumn("fine", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
     text = lambda f: F.coalesce(F.try_variant_get("v", f"$.{f}", "string"), F.to_json(F.try_variant_get("v", f"$.{f}", "variant")))
     rows = checked.where("fine").select(*[flatten_value(F.nullif(text(f.name), F.lit(""))).alias(f.name) for f in schema.fields])
-    return rows, checked.where("not fine").select("file", F.substring("value", 1, 300).alias("raw"))
+    blocks = every.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # numbers run on within a task, so within a block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bad = checked.where("not fine").join(blocks.withColumn("before", before), ["file", "block"])
+    return rows, bad.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.substring("value", 1, 300).alias("raw"))
 
 
 def read_tsv(spark: SparkSession, path: str, quoted: bool = True, schema: S.StructType | None = None, header: bool = True) -> DataFrame:
@@ -59,8 +64,6 @@ def write_lines(df: DataFrame, line, path: str, mode: str = "errorifexists") ->
 
 def session_blocks(events: DataFrame, numbers: DataFrame, each: int = 5000) -> DataFrame:
     """Report lines of sessions with the file number they belong to: ``each`` sessions a file, minutes since the query before."""
-    from pyspark.sql import Window
-
     mine = Window.partitionBy("session_id").orderBy("ts", "ord")
     n = numbers.withColumn("k", F.regexp_extract("number", r"(\d+)", 1).cast("bigint"))
     minutes = F.bround((F.col("ts") - F.lag("ts").over(mine)) / 60).cast("bigint")
@@ -68,13 +71,16 @@ def session_blocks(events: DataFrame, numbers: DataFrame, each: int = 5000) -> D
 
 
 def read_corpus(spark: SparkSession, path: str, suffix: str = "*.{json,jsonl}") -> DataFrame:
-    """Records of JSON arrays, JSON lines, or objects whose first list field holds them."""
-    whole = spark.read.option("pathGlobFilter", suffix).option("multiLine", True).json(path)
-    lists = [f.name for f in whole.schema.fields if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
-    if lists and len(whole.schema.fields) <= 3:
-        return whole.select(F.explode(lists[0]).alias("r")).select("r.*")
-    plain = spark.read.option("pathGlobFilter", suffix).json(path)
-    return whole if "_corrupt_record" in plain.columns else plain
+    """Records of JSON arrays, JSON lines, or of files that are one object each, whose first list of objects (by name) holds them, whatever other fields it has."""
+    reader = lambda: spark.read.option("pathGlobFilter", suffix)
+    plain = reader().json(path)
+    pretty = "_corrupt_record" in plain.columns  # documents of several lines
+    records = reader().option("multiLine", True).json(path) if pretty else plain
+    lines = reader().text(path).select(F.trim("value").alias("value"), F.col("_metadata")["file_path"].alias("file"), F.monotonically_increasing_id().alias("at")).where("value <> ''")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.substring("value", 1, 1), "at").alias("begin"))
+    one_each = files.where((F.col("begin") == "[") | ((F.col("n") > 1) & F.lit(not pretty))).isEmpty()
+    lists = [f.name for f in records.schema.fields if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
+    return records.select(F.explode(lists[0]).alias("r")).select("r.*") if lists and one_each else records
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

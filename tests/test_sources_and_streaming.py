@@ -38,6 +38,35 @@ def test_corpus_and_dump(spark, tmp_path):
     assert [r.docno for r in got] == ["1"] and got[0].text.startswith("Bold shown")
 
 
+def test_bad_lines_have_their_numbers(spark, tmp_path):
+    for name, bad in (("a", {3, 700}), ("b", {1, 2})):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join("" if i % 50 == 0 else "no" if i in bad else json.dumps({"uid": "x" * 20}) for i in range(1, 1001)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (was, "4k"):  # many blocks
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows, bad = readers.read_json_log(spark, [str(tmp_path)])
+        assert sorted((r.file[-7:], r.line, r.raw) for r in bad.collect()) == [("a.jsonl", 3, "no"), ("b.jsonl", 1, "no"), ("b.jsonl", 2, "no")] and rows.count() == 1957
+    spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_corpora_of_all_shapes(spark, tmp_path):
+    records = [{"id": i, "authors": [{"n": 1}]} for i in range(5)]
+    wide = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5, "records": records}
+    for name, text in (("array", json.dumps(records)), ("lines", "\n".join(map(json.dumps, records))), ("object", json.dumps(wide)), ("pretty", json.dumps(wide, indent=1))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(text)
+        assert sorted(r.id for r in readers.read_corpus(spark, str(tmp_path / name)).collect()) == list(range(5)), name
+
+
+def test_nul_short_rows_and_unquoted(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text('a\tb\n"x\ty\0z\nonly\n')
+    got = readers.read_tsv(spark, str(tmp_path / "t.tsv"), quoted=False).collect()
+    assert [(r.a, r.b) for r in got] == [('"x', "yz"), ("only", None)]
+    readers.write_ndjson(spark.createDataFrame([("1", "t", "x y")], "docno string, title string, text string"), str(tmp_path / "n"))
+    assert [tuple(r) for r in readers.read_articles(spark, str(tmp_path / "n")).collect()] == [("1", "t", "x y")]
+    assert readers.alias_columns(spark.createDataFrame([(1,)], "docid int"), {"id": ("doc", "docid")}).columns == ["id"]
+
+
 def test_report_blocks(spark):
     rows = [(str(i), i, "u", 60 * i, f"q{i}", [1]) for i in range(3)]
     s = sessions.gap_sessions(spark.createDataFrame(rows, "search_id string, ord long, uid string, ts long, query string, serp array<long>"))
