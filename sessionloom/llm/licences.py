@@ -2,15 +2,18 @@
 
 The words of a few licence templates are weighed by their inverse document frequency over all documents. A file is looked
 up by its rarest template words: each posting (template, position) votes for the alignment that puts the template's start at
-word - position. An alignment's score is the share of the template's weight that it finds in place; a template is reported if
-its score reaches the threshold and its mandatory key phrase stands there word for word.
+word - position. Alignments a few words apart go together, as a changed name or date shifts what follows. Their score is the share of the
+template's weight that is found in place under one of them; a template is reported if its score reaches the threshold and all its
+mandatory key phrases stand there word for word. Templates are short notices (below) and the whole texts in ``licence_texts``.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 from .common import text_slices
 from .tokens import ALNUM, Words
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Alignments so many words apart or less go together.
+DRIFT = 12
 # The base phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -41,6 +47,15 @@ TEMPLATES = [
 ]
 
 
+def whole_texts() -> list[tuple[str, str, str]]:
+    """label, key phrases (parted by bars) and words of the files of ``licence_texts``."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        label, keys, _, text = path.read_text().split("\n", 3)
+        out.append((label, keys, " ".join(WORD.findall(text.lower()))))
+    return out
+
+
 def _hash(words: list[str]) -> np.ndarray:
     return Words(pa.array(words), ALNUM).hashes() if words else np.zeros(0, np.uint64)
 
@@ -52,12 +67,12 @@ class Index:
         self.phrases = [(_hash(p.split()), label) for p, label in sorted(phrases.items())]
         self.templates, self.postings = [], defaultdict(list)
         for t, (label, key, text) in enumerate(templates):
-            h, k = _hash(text.split()), _hash(key.split())
+            h, k = _hash(text.split()), [_hash(part.split()) for part in key.split("|")]
             weight = np.array([math.log((1 + documents) / (1 + frequency.get(int(x), 0))) + 1e-3 for x in h])
             self.templates.append((label, k, h, weight, weight.sum()))
             for place in np.lexsort((np.arange(len(h)), -weight))[:rare]:
                 self.postings[int(h[place])].append((t, int(place)))
-        every = [h for h, _ in self.phrases] + [x[2] for x in self.templates] + [x[1] for x in self.templates]
+        every = [h for h, _ in self.phrases] + [x[2] for x in self.templates] + [k for x in self.templates for k in x[1]]
         self.vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
 
     def scan(self, at: np.ndarray, h: np.ndarray, least: float) -> tuple[list[int], set[str], set[str], float]:
@@ -69,13 +84,21 @@ class Index:
                 if all(here.get(i + j) == int(w) for j, w in enumerate(words)):
                     starts.append(i)
                     base.add(label)
-        votes = {(t, i - place) for i, x in here.items() for t, place in self.postings.get(x, ())}
-        for t, begin in votes:
-            label, key, words, weight, total = self.templates[t]
-            score = float(sum(w for j, (x, w) in enumerate(zip(words.tolist(), weight.tolist(), strict=True)) if here.get(begin + j) == x) / total)
-            if score >= least and any(all(here.get(i + j) == int(x) for j, x in enumerate(key)) for i in range(begin - 2, begin + len(words) + 3)):
-                best = max(best, score)
-                found.add(label)
+        votes = defaultdict(set)
+        for i, x in here.items():
+            for t, place in self.postings.get(x, ()):
+                votes[t].add(i - place)
+        for t, begins in votes.items():
+            label, keys, words, weight, total = self.templates[t]
+            begins = sorted(begins)
+            cuts = [0, *(i for i in range(1, len(begins)) if begins[i] - begins[i - 1] > DRIFT), len(begins)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                group = begins[low:high]
+                score = float(sum(w for j, (x, w) in enumerate(zip(words.tolist(), weight.tolist(), strict=True)) if any(here.get(g + j) == x for g in group)) / total)
+                around = range(group[0] - 2, group[-1] + len(words) + 3)
+                if score >= least and all(any(all(here.get(i + j) == int(x) for j, x in enumerate(key)) for i in around) for key in keys):
+                    best = max(best, score)
+                    found.add(label)
         return starts, base, found, min(1.0, best)
 
 
@@ -112,13 +135,16 @@ def _scan(batches, index: Index, least: float):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
 
 
-def scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] = TEMPLATES, rare: int = 3, least: float = 0.8) -> DataFrame:
+def scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] | None = None, rare: int = 6, least: float = 0.8) -> DataFrame:
     """Licences in every whole text of documents (doc_id, text).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased; a null text is empty. n_base counts all
     places of all phrases, overlapping ones too; first_word and last_word are null without any. labels adds the templates
-    found with a score of ``least`` or more. The document frequencies cover all documents; ``rare`` words of each template are looked up.
+    found with a score of ``least`` or more. The document frequencies cover all documents; ``rare`` words of each template are looked up
+    (``templates``: label, key phrases, text; else TEMPLATES and the whole texts). Rows are independent: repeated rows and rows with a null doc_id have rows of
+    their own, texts may be of any length, an empty table gives none; other columns are not read.
     """
+    templates = [*TEMPLATES, *whole_texts()] if templates is None else templates
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blank = Index(phrases, templates, {}, 0, rare)
     counts = docs.mapInArrow(partial(_frequencies, vocabulary=blank.vocabulary), "word long, n long, is_word boolean").groupBy("word", "is_word").agg(F.sum("n").alias("n")).collect()  # a row for each template word

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 import zlib
@@ -74,6 +75,19 @@ def test_licences_equal_brute_force(spark):
     assert len(got) == len(rows) and licences.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    texts = {p.read_text().split("\n", 1)[0]: p.read_text().split("\n", 3)[3] for p in (pathlib.Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    named = texts["bsd-3-clause-text"].replace("the copyright holder nor", "Example Widgets and Sons Incorporated nor")
+    broken = texts["mit-licence-text"].replace("IS PROVIDED", "IS NOT PROVIDED")
+    half = " ".join(texts["isc-text"].split()[:40])
+    rows = [(i, f"x {t} y") for i, t in enumerate(texts.values())] + [(100, f"Copyright 2001\n{named}"), (101, broken), (102, half), (103, " ".join(reversed(texts["mit-licence-text"].split())))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(texts):
+        assert label in got[i], label
+    assert "bsd-3-clause-text" in got[100] and "mit-licence-text" not in got[101] | got[103] and "isc-text" not in got[102]
+    assert "bsd-2-clause-text" not in got[102] and "gpl-header" not in got[list(texts).index("lgpl-header")]
+
+
 def test_pipeline_stages_keep_their_contracts(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(900_000, None, "en", "src1", 0), (900_001, "1234", None, "src1", 4)], docs.schema)
