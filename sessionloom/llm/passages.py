@@ -94,9 +94,14 @@ def _windows(batches, functions: int, least: int, k: int, places: bool):
             h, off = shingles(Words(part.column("text"), NOT_SPACE), k)
             t = part.column("t").to_numpy(zero_copy_only=False)
             for signature, variant, row, at, lo, hi in windows_of(h, off, functions, least):
-                if places:
-                    columns = [signature, variant, t[row], at.astype(np.int32), lo.astype(np.int8), hi.astype(np.int8)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "variant", "t", "at", "lo", "hi"])
+                if places:  # a variant that overlaps itself in a text is one row, from its first place to its last
+                    by = np.lexsort((at, variant, row))
+                    signature, variant, row, at, lo, hi = (x[by] for x in (signature, variant, row, at, lo, hi))
+                    same = (row[1:] == row[:-1]) & (variant[1:] == variant[:-1]) & (signature[1:] == signature[:-1]) & (at[1:] - at[:-1] <= hi[1:] - lo[1:])
+                    first = np.flatnonzero(np.append(True, ~same)) if len(row) else np.zeros(0, np.int64)
+                    upto = at[np.append(first[1:], len(row)) - 1] if len(row) else at
+                    columns = [signature[first], variant[first], t[row[first]], at[first].astype(np.int32), upto.astype(np.int32), lo[first].astype(np.int8), hi[first].astype(np.int8)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "variant", "t", "at", "upto", "lo", "hi"])
                 else:
                     columns = [signature, (variant >> 32).astype(np.int32), (t[row] >> 32).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "v", "t"])
@@ -348,12 +353,22 @@ def _tiles(batches, least: int, percent: int):
             (c, v, left), (d, w, right) = sides
             hub, signature = batch.column("hub")[i].as_py(), batch.column("signature")[i].as_py()
             p, q = np.nonzero((c[:, None] != d) & ((d == hub) | (v[:, None] < w)) & left.may_meet(slice(None), right, slice(None), percent))
-            for start in range(0, len(p), 2_000):
-                a, b = p[start : start + 2_000], q[start : start + 2_000]
+            kinds, number = np.unique(np.concatenate([c, d]), return_inverse=True)
+            own, other = number[: len(c)], number[len(c) :]
+            root, links, step = np.arange(len(kinds)), [], 64
+            while len(p):
+                a, b, p, q = p[:step], q[:step], p[step:], q[step:]
                 similarity, first, last = meet(left, a, right, b, percent)
                 yes = similarity > 0
-                a, b = a[yes], b[yes]
-                yield from _both(np.full(len(a), signature), v[a], w[b], c[a], d[b], first[yes], last[yes], similarity[yes], least)
+                if yes.any():
+                    links.append((a[yes], b[yes], similarity[yes], first[yes], last[yes]))
+                    root = smallest(len(kinds), *(np.concatenate(x) for x in zip(*[(own[x[0]], other[x[1]]) for x in links], strict=True)))
+                    apart = root[own[p]] != root[other[q]]
+                    p, q = p[apart], q[apart]
+                step = min(2_000, 2 * step)
+            if links:
+                a, b, similarity, first, last = (np.concatenate(x) for x in zip(*links, strict=True))
+                yield from _both(np.full(len(a), signature), v[a], w[b], c[a], d[b], first, last, similarity, least)
 
 
 def _passages(batches, k: int, slack: int):
@@ -410,7 +425,7 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     seen = seen.agg(F.min("t").alias("t1"), F.max("t").alias("t2"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("t1 <> t2")
     shared = stage(seen.select("signature", (F.col("v1") != F.col("v2")).alias("many")), "cw-shared")
     release(spark)
-    placed = windows.mapInArrow(partial(make, places=True), "signature long, variant long, t long, at int, lo byte, hi byte")
+    placed = windows.mapInArrow(partial(make, places=True), "signature long, variant long, t long, at int, upto int, lo byte, hi byte")
     held = stage(placed.join(shared.hint("merge"), "signature"), "cw-held")
     release(spark)
     first = F.min(F.struct("t", "at"))
@@ -451,9 +466,9 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
         (F.min, "lo", "run_lo", True), (F.max, "hi", "run_hi", True), (F.min, "lo", "near_lo", False), (F.max, "hi", "near_hi", False), (F.min, "similarity", "similarity", False),
     )])
     told = variants.select("signature", "variant", "lo", "hi", "same").join(alike, ["signature", "variant"], "left")
-    marked = held.select("signature", "variant", "t", "at").join(told.hint("merge"), ["signature", "variant"])
-    marked = stage(marked.select("t", "at", "lo", "hi", "same", "run_lo", "run_hi", "near_lo", "near_hi", "similarity", F.xxhash64("signature", F.coalesce("own", "variant")).alias("kind")), "cw-marked")
-    span = lambda lo, hi, similarity: F.struct((F.col("at") + F.col(lo)).cast("int").alias("start"), (F.col("at") + F.col(hi)).cast("int").alias("end"), similarity.alias("similarity"), "kind")
+    marked = held.select("signature", "variant", "t", "at", "upto").join(told.hint("merge"), ["signature", "variant"])
+    marked = stage(marked.select("t", "at", "upto", "lo", "hi", "same", "run_lo", "run_hi", "near_lo", "near_hi", "similarity", F.xxhash64("signature", F.coalesce("own", "variant")).alias("kind")), "cw-marked")
+    span = lambda lo, hi, similarity: F.struct((F.col("at") + F.col(lo)).cast("int").alias("start"), (F.col("upto") + F.col(hi)).cast("int").alias("end"), similarity.alias("similarity"), "kind")
     spans = F.filter(F.array(F.when(F.col("same"), span("lo", "hi", F.lit(1.0))), F.when(F.col("run_lo").isNotNull(), span("run_lo", "run_hi", F.lit(1.0))), F.when(F.col("similarity").isNotNull(), span("near_lo", "near_hi", F.col("similarity")))), lambda x: x.isNotNull())
     each = marked.where("same or run_lo is not null or similarity is not null").groupBy("t").agg(F.flatten(F.collect_set(spans)).alias("spans"))
     found_in = stage(each.mapInArrow(partial(_passages, k=k, slack=int(least * (100 - percent) / (100 + percent))), "t long, start_word long, end_word long, similarity double, kinds array<long>"), "cw-passages")

@@ -79,6 +79,21 @@ def test_partial_quotes_do_not_hide_a_passage(spark):
     assert {x for r in got for x in (r.doc_id, r.other_doc_id)} == set().union(*want)
 
 
+def test_blocks_do_not_change_who_is_joined(spark):
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, line = fresh(60), fresh(64), fresh(18)
+    two = " ".join([*two.split()[:20], *one.split()[20:38], *two.split()[38:]])  # two passages with a stretch in common
+    rows = [(i, f"{fresh(50)} {(one, two, line)[i % 3]} {fresh(50)}") for i in range(150)]
+    rows += [(200 + i, f"{fresh(50)} {' '.join('x' if j == 12 + i else w for j, w in enumerate(one.split()))} {fresh(50)}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8, 512):
+        got = passages.repeated_passages(df, block=block).collect()
+        assert holders_met(got, [*range(0, 150, 3), *range(200, 212)]) and holders_met(got, range(1, 150, 3))
+        assert not {x for r in got for x in (r.doc_id, r.other_doc_id)} & {*range(2, 150, 3)}
+        assert {r.other_doc_id for r in got} == {0, 1}
+
+
 def test_repeated_words_beside_a_common_line(spark):
     rng = random.Random(6)
     fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
