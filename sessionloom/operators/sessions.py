@@ -28,6 +28,12 @@ def uid_day(df: DataFrame) -> DataFrame:
     return cleaning.uid_present(df).withColumn("day", T.utc_day(F.col("ts"))).withColumn("grp", F.concat_ws("|", "uid", "day"))
 
 
+def remaining(df: DataFrame, done: DataFrame) -> DataFrame:
+    """Events of the user-days that ``done`` (session_id) has not yet, to resume a job: no session crosses a user's day, so no other state is needed."""
+    finished = done.where("session_id is not null").select(F.regexp_replace("session_id", r"\|\d+$", "").alias("grp")).distinct()
+    return uid_day(df).join(finished, "grp", "left_anti").select(df.columns)
+
+
 def neighbours(df: DataFrame) -> DataFrame:
     """Adds prev_ts, prev_query, prev_serp and gap; null at the start of a user's day."""
     return df.withColumns({f"prev_{c}": F.lag(c).over(_by_day()) for c in ("ts", "query", "serp")}).withColumn("gap", F.col("ts") - F.col("prev_ts"))

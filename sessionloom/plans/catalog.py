@@ -700,3 +700,10 @@ def j5_mismatches(spark, sf):
     """Events that only one of two methods has; every seventh is left out of the second here."""
     full = _gap(spark, sf).where("ord % 7 > 0")
     return evaluation.mismatches(_lexical(spark, sf), full)
+
+
+@register(f"with {GAP} select g.search_id, g.uid, g.ts from gap g where concat(uid, '|', day) not in (select concat(uid, '|', day) from gap where ord % 40 = 0)")
+def s23_remaining(spark, sf):
+    """What a resumed job has still to do, where the user-days of every fortieth event are done."""
+    done = _gap(spark, sf).where("ord % 40 = 0")
+    return sessions.remaining(queries_of(search_log(spark, sf)), done).select("search_id", "uid", "ts")

@@ -49,6 +49,11 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", True).option("escape", "\"").csv(path)
 
 
+def write_sorted(df: DataFrame, path: str, *by: str, mode: str = "errorifexists") -> None:
+    """Parquet files in the order of ``by`` across all of them: ranges, each sorted in its task."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(path)
+
+
 def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

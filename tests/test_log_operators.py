@@ -161,3 +161,21 @@ def test_labels_with_stems_and_related_words(spark):
     got = {r.strategy for r in reformulation.labelled(s, stemming=True, related=related).collect()}
     assert got == {"Stemming", "Word Substitution"}
     assert {r.strategy for r in reformulation.labelled(s).collect()} == {"Substring", "New"}
+
+
+def test_a_resumed_job_gives_the_same_sessions(spark):
+    rows = [(str(i), i, f"u{i % 3}", 86_000 + 300 * i, f"q{i // 4}", [1, 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "search_id string, ord long, uid string, ts long, query string, serp array<long>")
+    whole = {(r.search_id, r.session_id) for r in sessions.gap_sessions(df).collect()}
+    done = sessions.gap_sessions(df.where("uid = 'u1'"))
+    rest = sessions.gap_sessions(sessions.remaining(df, done))
+    assert whole == {(r.search_id, r.session_id) for r in done.unionByName(rest).collect()} and rest.count() == 40
+
+
+def test_sorted_files(spark, tmp_path):
+    from sessionloom.sources import readers
+
+    df = spark.range(1000).selectExpr("(id * 7919) % 1009 as ts", "id")
+    readers.write_sorted(df.repartition(4), str(tmp_path / "s"), "ts")
+    parts = [[r.ts for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "s").glob("part-*"))]
+    assert [x for p in parts for x in p] == sorted(r.ts for r in df.collect())
