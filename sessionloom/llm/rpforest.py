@@ -252,7 +252,12 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, trees: int = 6, lea
     classes = stage(named.withColumns({"node": F.xxhash64("label", "k"), "dims": F.size("v"), "g": F.xxhash64("label", F.size("v"))}), "rp-classes")
     widest = classes.agg(F.max("dims")).first()[0] or 1
     fit = classes.orderBy(F.xxhash64("k"), "node").limit(max(1, most_values // widest)).select("label", "v").toArrow()
-    vectors = [unit(v)[0] for v in (fit.column("v").combine_chunks().slice(i, 1) for i in range(fit.num_rows))] if fit.num_rows else []
+    vectors: list = [None] * fit.num_rows
+    lengths = pa.compute.list_value_length(fit.column("v")).to_numpy()
+    for size in np.unique(lengths):
+        own = np.flatnonzero(lengths == size)
+        for i, v in zip(own.tolist(), unit(pa.concat_arrays(fit.column("v").take(pa.array(own)).chunks)), strict=True):
+            vectors[i] = v
     forest = Forest(fit.column("label").to_pylist(), vectors, trees, leaf, least, spill)
     block = min(block, max(128, (1 << 21) // widest))
     sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
