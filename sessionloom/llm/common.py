@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,6 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """What is staged meanwhile goes to Python in Arrow batches of ``rows`` rows at most, so that whole texts do not pile up beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and no executor holds the only copy."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

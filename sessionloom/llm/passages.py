@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, stage, text_slices
+from .common import batches_of, components, release, stage, text_slices
 from .tokens import BASE, INVERSE, NOT_SPACE, Words, _powers, mix, shingles
 
 #: Tokens left and right of a centre at which its text and another one are still compared for words in other places (insertions).
@@ -414,6 +414,11 @@ def repeated_passages(documents: DataFrame, words: int = 50, k: int = 5, percent
     share is not listed; other columns are not read. Words are runs of bytes other than ASCII white space, A-Z
     lower-cased. Texts may be of any length. ``block`` bounds the rows compared at once.
     """
+    with batches_of(documents.sparkSession, 1000):  # every step that runs Python is staged here
+        return _repeated(documents, words, k, percent, functions, block)
+
+
+def _repeated(documents: DataFrame, words: int, k: int, percent: int, functions: int, block: int) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     keyed = stage(docs.mapInArrow(_counted, "doc_id long, t long, n long").where(F.col("n") >= words), "cw-keyed")
