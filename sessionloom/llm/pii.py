@@ -127,33 +127,41 @@ def _in_blocks(text: str, kind: str, key: bytes, size: int = 128, **how) -> str:
     return "".join(out)
 
 
-def _word(word: str, key: bytes) -> str:
-    """A word of a name, wherever it stands: a listed given name by another one of its gender and script, any other by one of the same sounds.
+def _word(word: str, given: bool, key: bytes) -> str:
+    """A word of a name: a listed given name by another one of its gender and script, any other by one of the same sounds.
 
-    The last letter of an unlisted word stays if it is a vowel, as it tells the gender in many languages.
+    The last letter of such a word stays if it is a vowel, as it tells the gender in many languages. For given names, and for all other words, the
+    mapping is one to one.
     """
+    ending = len(word) > 2 and word[-1] in "aeiouаеиоуыэюя"
+    fixed = lambda t, i: ending and i == len(t) - 1
+    if len(word) > 128:
+        return _in_blocks(word, "given" if given else "name", key, of=_NAME_OF)
+    if not given:
+        return permute(word, "name", key, fixed, _NAME_OF)
     for names in NAMES.values():
         if word in names:  # a keyed shift of the list is one to one
             return names[(names.index(word) + 1 + int.from_bytes(hmac.new(key, names[0].encode(), hashlib.sha256).digest()[:4], "big") % (len(names) - 1)) % len(names)]
-    ending = len(word) > 2 and word[-1] in "aeiouаеиоуыэюя"
-    if len(word) > 128:
-        return _in_blocks(word, "name", key, of=_NAME_OF)
-    plain = word
-    while plain == word or any(plain in names for names in NAMES.values()):  # walked on until it is no listed one
-        last, plain = plain, permute(plain, "name", key, lambda t, i: ending and i == len(t) - 1, _NAME_OF)
-        if plain == last:
-            break
+    plain = permute(word, "given", key, fixed, _NAME_OF)
+    while any(plain in names for names in NAMES.values()):  # walked on until it is no listed one
+        plain = permute(plain, "given", key, fixed, _NAME_OF)
     return plain
 
 
-def _name(body: str, key: bytes) -> tuple[str, dict[str, str]]:
-    """The name with its words exchanged, and what stands for each word; ranks, particles, initials' dots and separators stay."""
-    out, words, at = [], {}, 0
+def _name(body: str, key: bytes) -> tuple[str, dict[str, tuple[str, str]]]:
+    """The name with its words exchanged, and for each word its kind (given, surname) and what stands for it; ranks, particles, initials' dots
+    and separators stay."""
+    out, words, at, given = [], {}, 0, True
     while at < len(body):
         fixed = _FIXED_WORDS.match(body, at)
         end = fixed.end() if fixed else next((i for i in range(at, len(body)) if body[i] in " -"), len(body))
         word = body[at:end]
-        out.append(word if fixed else words.setdefault(word, _word(word, key)))
+        if not fixed:
+            out.append(_word(word, given, key))
+            words.setdefault(word, ("given" if given else "surname", out[-1]))
+            given = False
+        else:
+            out.append(word)
         at = end
     return "".join(out), words
 
@@ -226,7 +234,7 @@ class Replacer:
         if not self.hint.search(text):
             return text, []
         places = []  # start, end, kind, original, surrogate
-        said: dict[str, str] = {}  # words of names that stand after a title in this text
+        said: dict[str, tuple[str, str]] = {}  # words of names that stand after a title in this text
         for m in self.find.finditer(text):
             kind, whole = m.lastgroup, m[0]
             kind = next(k for k, _ in PATTERNS if m[k] is not None) if kind is None or kind.startswith("keep_") else kind
@@ -249,7 +257,7 @@ class Replacer:
                 while end <= m.start() and end < len(text):
                     start, end, *_ = next(taken)
                 if m.end() <= start:
-                    places.append((*m.span(), "name", m[0], said[m[0]]))
+                    places.append((*m.span(), said[m[0]][0], m[0], said[m[0]][1]))
             places.sort()
         out, at = [], 0
         for start, end, _, _, new in places:
@@ -260,7 +268,7 @@ class Replacer:
 
 def _replace(batches, key: bytes, keep: tuple[str, ...], text: str, names: tuple[str, str, str]):
     replacer = Replacer(key)
-    kinds = [k for k, _ in PATTERNS]
+    kinds = [k for k, _ in PATTERNS] + ["given", "surname"]
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
