@@ -21,6 +21,8 @@ from .common import columns, stage, text_slices
 from .tokens import BASE, INVERSE, _powers, mix
 
 LONGEST = 4
+#: What is added to every count: little, so that a word seen once in one language still tells that language from larger ones.
+SMOOTHING = 0.01
 
 
 def alphabet() -> bytes:
@@ -76,7 +78,7 @@ class Model:
             known, at = np.unique(h, return_inverse=True)
             table = np.zeros((len(known), len(languages)))
             np.add.at(table, (at, language), n)
-            self.tables[k] = (known, np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(1, len(known)))).astype(np.float32))
+            self.tables[k] = (known, np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * max(1, len(known)))).astype(np.float32))
 
     def table(self) -> np.ndarray:
         return np.unpackbits(np.frombuffer(self.letters, np.uint8).reshape(2, -1), axis=1)[:, : sys.maxunicode + 1].astype(bool)

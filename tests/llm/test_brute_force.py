@@ -100,7 +100,7 @@ def test_language_scores_equal_a_plain_version(spark):
     langs = sorted(counts[0])
     assert langs == model.languages
     kinds = [{x for c in counts[k].values() for x in c} for k in range(5)]
-    log = lambda k, x, y: math.log((counts[k][y][x] + 0.1) / (sum(counts[k][y].values()) + 0.1 * len(kinds[k])))
+    log = lambda k, x, y: math.log((counts[k][y][x] + 0.01) / (sum(counts[k][y].values()) + 0.01 * len(kinds[k])))
     for i, text in enumerate([*(r.text for r in asked), *odd]):
         total = dict.fromkeys(langs, 0.0)
         for w in words_of(text):
