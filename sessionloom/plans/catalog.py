@@ -651,7 +651,7 @@ def reformulation_substitution(spark, sf):
 
 @register()
 def reformulation_stemming(spark, sf):
-    """The rule of equal stems, with plurals planted; tested against a stemmer of its own in tests."""
+    """The rule of equal stems, with plurals planted; SQL has no such stemmer, which has tests of its own."""
     one, two = F.split_part("query", F.lit(" "), F.lit(1)), F.split_part("query", F.lit(" "), F.lit(2))
     log = search_log(spark, sf)
     log = log.withColumn("query", F.when(F.col("ord") % 3 == 0, F.concat("query", F.lit("s"))).when(F.col("ord") % 3 == 1, F.concat_ws(" ", two, one)).otherwise(F.col("query")))
