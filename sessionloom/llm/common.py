@@ -25,15 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """What is staged meanwhile goes to Python in Arrow batches of ``rows`` rows at most, so that whole texts do not pile up beside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, most_bytes: int | None = None):
+    """What is staged meanwhile goes to Python in Arrow batches of ``rows`` rows and about ``most_bytes`` at most, so that whole texts do not pile up
+    beside the heap."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
+    limits = {key: value for key, value in limits.items() if value is not None}
+    was = {key: spark.conf.get(key) for key in limits}
     try:
+        for key, value in limits.items():
+            spark.conf.set(key, str(value))
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, value in was.items():
+            spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

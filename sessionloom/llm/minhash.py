@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, text_slices
+from .common import batches_of, components, stage, text_slices
 from .tokens import BASE, NOT_SPACE, Words, mix, shingles
 
 M, B, A, Q = 200, 1.001, 20.0, (1 << 16) - 2
@@ -184,8 +184,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     that is compared once. In each band the documents that share a key are compared with the smallest and the largest id
     there; those that stay outside the smallest id's component (strays) are then compared with the members of other
     components there, so no chain is lost and no group is expanded into all its pairs. In buckets of more than ``block``
-    documents that happens between blocks of rows inside a task, which returns the links alone.
+    documents that happens between blocks of rows inside a task, which returns the links alone. A row of two blocks holds up to
+    2 * ``block`` sets, so Python gets them a few megabytes at a time.
     """
+    with batches_of(documents.sparkSession, 1000, 4 << 20):  # every step that runs Python is staged here
+        return _near_duplicates(documents, shingle, percent, m, band, block)
+
+
+def _near_duplicates(documents: DataFrame, shingle: int, percent: int, m: int, band: int, block: int) -> DataFrame:
     docs = documents.select("doc_id", "text")
     all_ = stage(docs.mapInArrow(partial(_sketches, shingle=shingle, m=m), "doc_id long, n_shingles long, k1 long, k2 long, registers binary"), "mh-sketches")
     full = all_.where("n_shingles > 0 and doc_id is not null")

@@ -73,6 +73,30 @@ def test_large_buckets_are_compared_in_blocks(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_python_gets_a_few_megabytes_at_a_time(spark, monkeypatch, tmp_path):
+    import uuid
+
+    confirm = minhash._confirm
+
+    def seen(batches, percent):
+        def each():
+            for b in batches:
+                (tmp_path / uuid.uuid4().hex).write_text(str(b.nbytes))
+                yield b
+
+        yield from confirm(each(), percent)
+
+    monkeypatch.setattr(minhash, "_confirm", seen)
+    limits = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    was = [spark.conf.get(x) for x in limits]
+    words = [f"w{i}" for i in range(20_000)]
+    got = minhash.near_duplicates(frame(spark, [(i, " ".join([f"x{i}", *words])) for i in range(80)])).collect()
+    assert {r.component_id for r in got} == {0}
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 20e6 and max(sizes) < 6e6
+    assert was == [spark.conf.get(x) for x in limits]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
