@@ -450,6 +450,7 @@ def _repeated(documents: DataFrame, words: int, k: int, percent: int, functions:
     # signatures of more blocks: components against the largest one, then what stays apart against all
     large = contents.where("blocks > 1")
     label = found.join(large.select("signature").distinct(), "signature", "left_semi").select("signature", "variant", F.col("own").alias("root"), "block").distinct()
+    label = stage(label, "cw-label")  # read several times below
     roots = label.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("n"))
     hubs = roots.groupBy("signature").agg(F.max(F.struct("n", "root")).alias("hub")).select("signature", F.col("hub.root").alias("hub"))
     row = large.select("signature", "variant", "lo", "tokens")

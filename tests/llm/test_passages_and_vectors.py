@@ -51,6 +51,23 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_labels_of_large_signatures_are_worked_out_once(spark, monkeypatch):
+    rng = random.Random(2)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, passage = fresh(20), fresh(60)
+    rows = [(i, f"{fresh(70)} {line} {fresh(70)}") for i in range(40)] + [(100 + i, f"{fresh(60)} {passage} {fresh(60)}") for i in range(3)]
+    plans, real = {}, passages.stage
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(passages, "stage", kept)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
+    assert {x for r in got for x in (r.doc_id, r.other_doc_id)} == {100, 101, 102}
+    assert sum(plan.count("LeftSemi") for plan in plans.values()) == 1
+
+
 def holders_met(got, holders):
     """Whether the rows join all holders."""
     of = {x: x for x in holders}
